@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.records import with_fields
+from tessella.session import written
 
 
 def _letters(c: Column) -> Column:
@@ -29,18 +30,19 @@ def encoded(df: DataFrame, key: str = "row_no", text: str = "text") -> DataFrame
 
     NULL texts and texts without a letter or digit have no content to compare
     and give no row. Repeated keys are allowed to share cells only if their
-    texts are equal; ``key`` is expected to be unique.
+    texts are equal; ``key`` is expected to be unique and below 2^43.
     """
     rec = with_fields(df.select(F.col(key).alias("_key"), F.col(text).alias("_t")), "_t").where(F.col("_clean") != "")
     free = F.array(F.struct(F.lit("").alias("name"), F.col("_clean").alias("value")))
     cells = rec.select("_key", F.posexplode(F.coalesce("_fields", free)).alias("_pos", "_f"))
     cells = cells.select("_key", "_pos", "_f.name", "_f.value", _digest(F.col("_f.name"), F.col("_f.value")).alias("raw"))
-    # dictionary: distinct raw values (strings move here only) -> canonical -> integer
-    values = cells.groupBy("name", "value", "raw").agg(F.min(F.col("_key").cast("bigint") * 64 + F.pmod("_pos", F.lit(64))).alias("cell"))
-    canon = values.select("raw", "cell", _letters(F.col("name")).alias("n"), _letters(F.col("value")).alias("v"))
-    canon = canon.select("raw", "cell", _digest(F.col("n"), F.col("v")).alias("canon"), (F.col("v") != "").alias("filled"))
-    ids = canon.where("filled").groupBy("canon").agg(F.min("cell").alias("value_id"))
-    mapping = canon.where("filled").join(ids, "canon").select("raw", "value_id")
+    cells = written(cells, "cells")  # read thrice below; parsed once
+    # dictionary: distinct raw values (the one shuffle of strings) -> canonical -> integer
+    values = cells.groupBy("name", "value", "raw").agg(F.min(F.col("_key").cast("bigint") * (1 << 20) + F.col("_pos")).alias("cell"))
+    canon = values.select("raw", "cell", _letters(F.col("name")).alias("n"), _letters(F.col("value")).alias("v")).where("v <> ''")
+    canon = written(canon.select("raw", "cell", _digest(F.col("n"), F.col("v")).alias("canon")), "dictionary")
+    ids = canon.groupBy("canon").agg(F.min("cell").alias("value_id"))
+    mapping = canon.join(ids, "canon").select("raw", "value_id")
     coded = cells.select("_key", "raw").join(mapping, "raw").select("_key", "value_id")
     # a form's own fields only: the list is as long as the record
     return coded.groupBy("_key").agg(F.array_sort(F.collect_list("value_id")).alias("tuple")).withColumnRenamed("_key", key)
@@ -58,6 +60,6 @@ def collapsed(df: DataFrame, key: str = "row_no", text: str = "text") -> DataFra
 
 def copies(df: DataFrame, key: str = "row_no", text: str = "text") -> DataFrame:
     """``(first_<key>, copy_<key>)``: each further copy beside the first of its record."""
-    rows = encoded(df, key, text).select(F.col(key).alias(f"copy_{key}"), _digest(F.col("tuple")).alias("d"))
+    rows = written(encoded(df, key, text).select(F.col(key).alias(f"copy_{key}"), _digest(F.col("tuple")).alias("d")), "tuples")
     groups = rows.groupBy("d").agg(F.min(f"copy_{key}").alias(f"first_{key}"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return rows.join(groups, "d").where(F.col(f"copy_{key}") != F.col(f"first_{key}")).select(f"first_{key}", f"copy_{key}")

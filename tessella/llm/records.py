@@ -14,12 +14,12 @@ BETWEEN = (r"\|", r"\n", ";")
 
 
 def bare(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \t\r\n\x0b\f\u0085\u2028\u2029"))
 
 
 def cleaned(text: Column) -> Column:
     """Without invisible characters, every space a blank, none at the ends."""
-    return bare(F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), r"[\p{Zs}\t]", " "))
+    return bare(F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), r"[\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\t]", " "))
 
 
 def with_fields(df: DataFrame, text: str = "text") -> DataFrame:
