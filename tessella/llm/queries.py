@@ -17,6 +17,20 @@ def _m(name: str):
     return importlib.import_module(f"tessella.llm.{name}")
 
 
+def _overlap(spark: SparkSession, d: str):
+    evals = [_t(spark, d, n).select("row_no", "text", "source", F.lit(n).alias("eval_table")) for n in ("d1_v6_hard_test", "d1_v6_blind_test")]
+    return _m("overlap").Overlap(_t(spark, d, "d1_v6_train"), evals[0].unionByName(evals[1]), extra=("source", "eval_table"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlap(spark, d).rows()
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap and coverage per eval table and source."""
+    return _overlap(spark, d).report(("eval_table", "source"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _m("groups").shared_groups(_t(spark, d, "d1_v6_hard_test"))
 
@@ -50,7 +64,15 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return _m("formatting").collapsed(_t(spark, d, "d1_v6_hard_test"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _m("leaks").leaks(_t(spark, d, "documents"), _t(spark, d, "eval_sample")).select("doc_id", "sample_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _m("sentences").sentences(_t(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_sample, p4_found, p5_found, p5_records)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_sample, p4_found, p5_found, p5_records, p7_found, p8_found)
 }
 ORACLES: dict[str, str] = {}
