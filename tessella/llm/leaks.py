@@ -25,6 +25,8 @@ from tessella.session import written
 
 #: Words of a seed, words in a row that make a leak, items that make a sentence stock text.
 GRAM, LEAST, STOCK = 3, 10, 10
+#: Share of a run's words that may be edited.
+EDITED = 0.25
 #: Items held by the driver and every task at a time; more are taken in blocks.
 ITEMS = 20_000
 
@@ -114,16 +116,17 @@ def alike(a: str, b: str, key: bool) -> int:
     if a[0].isdigit() or b[0].isdigit():
         return 0
     n = min(len(a), len(b))
-    return int(close(a, b, 1 if key or n < 7 else 2)) if n >= (3 if key else 4) else 0
+    return int(close(a, b, 1 if key or n < 7 else 2)) if n >= 3 else 0
 
 
 def held_words(item: list[str], key: list[bool], doc: list[str], shift: int, band: int = 7) -> int:
     """Longest run of ``item``'s words that ``doc`` holds around the diagonal ``shift``.
 
-    Smith-Waterman over words: same 2, misspelt 1, lost, added or exchanged -1.4. Words
-    broken in two or run together count as misspelt. Numbers and names are never
-    exchanged. The run begins and ends with words that are held, and of its
-    words about one in five may be edited.
+    Smith-Waterman over words: same 2, misspelt 1, lost or added -1.4. Words broken
+    in two or run together count as misspelt. A word is never exchanged for another
+    (particles of up to three letters aside), which is what tells a sentence from one
+    of the same pattern. The run begins and ends with words that are held, and of
+    its words about one in five may be edited.
     """
     n = len(item)
     lo0, hi0 = max(0, shift - band), min(len(doc), shift + n + band)
@@ -148,7 +151,7 @@ def held_words(item: list[str], key: list[bool], doc: list[str], shift: int, ban
             s, t = 0.0, 0
             if e:
                 s, t = prev[j - 1] + e, 2 if e == 2 else 1
-            elif not k:
+            elif not k and len(w) <= 3 and len(v) <= 3:
                 x = prev[j - 1] + gap
                 if x > s:
                     s, t = x, 3
@@ -195,30 +198,29 @@ def held_words(item: list[str], key: list[bool], doc: list[str], shift: int, ban
 
 
 def _longest(ops: list[tuple[int, int]], key: list[bool]) -> int:
-    """Item words of the longest allowed run in an alignment: cut where a number or
-    name was lost beside something added (that is, exchanged), then as long as edits
-    stay near one in five."""
+    """Item words of the longest allowed run in an alignment: cut where a word was
+    lost beside something added (that is, exchanged), then as long as edits stay
+    near one in five and no more numbers and names are lost than held. A run of
+    ``LEAST`` words may lack one."""
     cuts: list[list[tuple[int, int]]] = [[]]
     for p, (t, i) in enumerate(ops):
-        beside = any(0 <= q < len(ops) and ops[q][0] in (3, 5) for q in (p - 1, p + 1))
-        if t == 4 and key[i] and beside:
+        if t in (4, 5) and p and ops[p - 1][0] == 9 - t:
             cuts.append([])
-        else:
-            cuts[-1].append((t, i))
+        cuts[-1].append((t, i))
     top = 0
     for run in cuts:
         held = [p for p, (t, _) in enumerate(run) if t in (1, 2)]
-        bad = np.cumsum([0] + [t != 2 for t, _ in run])
-        for x in range(len(held)):
-            p = held[x]
-            if run[p][0] != 2:
-                continue
-            for y in range(len(held) - 1, x, -1):
-                q = held[y]
+        bad, have, keys = [0], [0], [0]
+        for t, i in run:
+            bad.append(bad[-1] + (t != 2))
+            have.append(have[-1] + (t in (1, 2)))
+            keys.append(keys[-1] + (0 if i < 0 or not key[i] else 1 if t in (1, 2) else -1))
+        for p in held:
+            for q in reversed(held):
                 size = run[q][1] - run[p][1] + 1
-                if size <= top:
+                if q <= p or size <= top:
                     break
-                if run[q][0] == 2 and bad[q + 1] - bad[p] <= max(2, math.ceil(0.26 * size)):
+                if bad[q + 1] - bad[p] <= EDITED * size + 0.5 and keys[q + 1] >= keys[p] and have[q + 1] - have[p] >= min(size, LEAST - 1):
                     top = size
                     break
     return top

@@ -64,6 +64,23 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return _m("formatting").collapsed(_t(spark, d, "d1_v6_hard_test"))
 
 
+def _packing(spark: SparkSession, d: str) -> DataFrame:
+    return _m("packing").containers(_t(spark, d, "documents"), _t(spark, d, "packs"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _m("packing").oversize(_packing(spark, d))
+
+
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return _packing(spark, d)
+
+
+def p6_waste(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and unused room of each kind."""
+    return _m("packing").waste(_packing(spark, d), _t(spark, d, "packs"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _m("leaks").leaks(_t(spark, d, "documents"), _t(spark, d, "eval_sample")).select("doc_id", "sample_id")
 
@@ -73,6 +90,6 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_sample, p4_found, p5_found, p5_records, p7_found, p8_found)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_sample, p4_found, p5_found, p5_records, p6_found, p6_packing, p6_waste, p7_found, p8_found)
 }
 ORACLES: dict[str, str] = {}
