@@ -8,6 +8,7 @@ records' keys are appended.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.records import with_tokens
-from tessella.session import scratch, written
+from tessella.llm.records import with_tokens, word_map
+from tessella.session import remove, scratch, written
 
 #: Two records are near-same from this share of common words: 3/5.
 NUM, DEN = 3, 5
-#: Keys of a batch that may be broadcast (16 bytes each), edges that one task may resolve.
-BROADCAST_KEYS = 2_000_000
-ONE_TASK_EDGES = 500_000
+#: Edges of a batch that one task may resolve; with more, rounds of joins do.
+ONE_TASK_EDGES = 200_000
+SETS = "row bigint, words array<int>, nums bigint, digest struct<a:bigint,b:bigint>, map bigint, size int"
 
 
 def band_keys(flat: np.ndarray, starts: np.ndarray, nums: np.ndarray, bands: int, rows: int, seed: int = 1) -> np.ndarray:
@@ -66,12 +67,57 @@ def near(a: Column, b: Column) -> Column:
     return DEN * common >= NUM * (F.size(a) + F.size(b) - common)
 
 
-def near_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """``pairs(row, other)`` whose sets in ``left`` and ``right`` (row, words) are near-same. The key holds
-    the numbers' hash, so candidates have the same numbers already; sizes that can't reach the share go first."""
-    a = left.select("row", F.col("words").alias("wa"))
-    b = right.select(F.col("row").alias("other"), F.col("words").alias("wb"))
-    return pairs.join(a, "row").join(b, "other").where(near(F.col("wa"), F.col("wb"))).select("row", "other")
+def may_be_near(ma: Column, na: Column, mb: Column, nb: Column) -> Column:
+    """Necessary for :func:`near`, from word maps and sizes: neither set may have more words
+    that the other surely lacks than a share of ``NUM/DEN`` allows."""
+    total = NUM * (na + nb)
+    lacks = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    return ((NUM + DEN) * lacks(ma, mb) <= (NUM + DEN) * na - total) & ((NUM + DEN) * lacks(mb, ma) <= (NUM + DEN) * nb - total)
+
+
+def near_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, row: str = "row", other: str = "other") -> DataFrame:
+    """``pairs(row, other)`` whose sets in ``left`` and ``right`` (row, words, map, size) are near-same.
+    Maps (16 bytes) go first and drop most pairs; only the rest meet their words."""
+    side = lambda df, name, x: df.select(F.col("row").alias(name), F.col("map").alias(f"m{x}"), F.col("size").alias(f"n{x}"))
+    some = pairs.join(side(left, row, "a"), row).join(side(right, other, "b"), other)
+    some = some.where(may_be_near(F.col("ma"), F.col("na"), F.col("mb"), F.col("nb"))).select(row, other)
+    a, b = left.select(F.col("row").alias(row), F.col("words").alias("wa")), right.select(F.col("row").alias(other), F.col("words").alias("wb"))
+    return some.join(a, row).join(b, other).where(near(F.col("wa"), F.col("wb"))).select(row, other)
+
+
+def pairs_in_groups(keys: DataFrame, most: int) -> DataFrame:
+    """Pairs of rows under one key, from ``keys(key, row)`` partitioned by key: ``(row, other < row, hot NULL)`` for
+    groups of up to ``most`` rows; larger ones give ``(row, NULL, hot key)``, their rows alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, row = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def out(k: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            size = np.diff(np.r_[start, len(k)])
+            rows, others = [], []
+            for n in np.unique(size):
+                if 2 <= n <= most:
+                    at = start[size == n]
+                    i, j = np.triu_indices(n, 1)
+                    rows.append((at[:, None] + j).ravel())
+                    others.append((at[:, None] + i).ravel())
+            x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (rows, others))
+            h = np.flatnonzero(np.repeat(size, size) > most)
+            none = np.arange(len(x) + len(h)) >= len(x)
+            other, hot = np.r_[r[y], np.zeros(len(h), np.int64)], np.r_[np.zeros(len(x), np.int64), k[h]]
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[r[x], r[h]]), pa.array(other, mask=none), pa.array(hot, mask=~none)], ["row", "other", "hot"])
+
+        for b in batches:
+            key, row = np.r_[key, b.column("key").to_numpy()], np.r_[row, b.column("row").to_numpy()]
+            if len(key) and key[0] != key[-1]:
+                done = int(np.searchsorted(key, key[-1]))  # the last group may go on
+                yield out(key[:done], row[:done])
+                key, row = key[done:], row[done:]
+        if len(key):
+            yield out(key, row)
+
+    return keys.sortWithinPartitions("key", "row").select("key", "row").mapInArrow(run, "row bigint, other bigint, hot bigint")
 
 
 def _resolve_small(edges: DataFrame) -> DataFrame:
@@ -91,34 +137,48 @@ def _resolve_small(edges: DataFrame) -> DataFrame:
 
 
 class History:
-    """What was accepted so far, at ``path`` in the shared folder.
+    """What was accepted so far, in tables bucketed by key below the shared folder.
 
     ``bands`` x ``rows`` set the index: sets with a share s of common words meet
-    with probability 1-(1-s^rows)^bands, which is 0.86 at 0.6, 0.99 at 0.7 and
-    over 0.999 from 0.78 with the defaults. ``buckets`` is the number of hash
-    partitions, ``hot`` the rows of one key above which no pairs are formed:
-    such keys are settled in rounds against their first undecided row, exactly.
+    with probability 1-(1-s^rows)^bands, which is 0.80 at 0.6, 0.98 at 0.7 and
+    over 0.99 from 0.74 with the defaults. Keys live in ``buckets`` hash partitions:
+    a batch's keys are written in the same ones, so probing shuffles neither side
+    and reads matching partitions alone. ``hot`` is the number of rows under one
+    key above which no pairs are formed: such keys are settled in rounds against
+    their first undecided row, exactly.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, bands: int = 24, rows: int = 5, buckets: int = 16, hot: int = 100):
+    def __init__(self, spark: SparkSession, path: str | None = None, bands: int = 20, rows: int = 5, buckets: int = 12, hot: int = 100):
         self.spark, self.path = spark, path or scratch(spark, "history")
         self.bands, self.rows, self.buckets, self.hot = bands, rows, buckets, hot
-        self.batches = 0
-        self.key_schema, self.set_schema = "key bigint, row bigint, bucket int", "row bigint, words array<int>"
+        self.batches, self.last = 0, -1
+        self.name = f"tessella_{uuid.uuid4().hex}"
 
-    def _keys(self, sets: DataFrame) -> DataFrame:
-        k = with_keys(sets, self.bands, self.rows).select("row", F.posexplode("keys").alias("band", "key"))
-        return k.select("key", "row", F.col("band").cast("smallint"), F.pmod("key", F.lit(self.buckets)).cast("int").alias("bucket"))
+    def _store(self, keys: DataFrame, what: str) -> DataFrame:
+        """Appends ``keys(key, row, band)`` to a table bucketed by key."""
+        w = keys.write.mode("append").format("parquet").bucketBy(self.buckets, "key").option("path", f"{self.path}/{what}")
+        w.saveAsTable(f"{self.name}_{what}")
+        return self.spark.table(f"{self.name}_{what}")
 
     def _sets(self) -> DataFrame:
-        return self.spark.read.schema("row bigint, words array<int>").parquet(f"{self.path}/sets")
+        return self.spark.read.schema(f"{SETS}, batch bigint").parquet(f"{self.path}/sets")
 
-    def _stored(self) -> DataFrame:
-        return self.spark.read.schema("key bigint, row bigint, band smallint, bucket int").parquet(f"{self.path}/keys")
+    def _stage(self, rows: DataFrame, batch: Column) -> None:
+        """Keeps the word sets of ``rows(row, words, nums, digest)`` under their batch."""
+        sets = rows.where(F.size("words") > 0).select("row", "words", "nums", "digest", word_map("words").alias("map"), F.size("words").alias("size"), batch.cast("bigint").alias("batch"))
+        sets.write.mode("append").option("compression", "zstd").partitionBy("batch").parquet(f"{self.path}/sets")
 
     def accepted(self) -> DataFrame:
         """``(row)`` of every accepted record that has words."""
-        return self._stored().where("band = 0").select("row")
+        if not self.batches:
+            return self.spark.createDataFrame([], "row bigint")
+        return self.spark.table(f"{self.name}_keys").where("band = 0").select("row")
+
+    def turned_away(self) -> DataFrame:
+        """``(row)`` of every row so far that wasn't accepted."""
+        if not self.batches:
+            return self.spark.createDataFrame([], "row bigint")
+        return self._sets().where(F.col("batch") <= self.last).select("row").join(self.accepted(), "row", "left_anti")
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Checks ``batch(row, words, nums, digest)`` and keeps what is new; gives the rows turned away, as ``(row)``.
@@ -128,43 +188,42 @@ class History:
         are no record: accepted, never matched. Copies inside the batch are
         settled by a minimum a digest, so a group of any size costs one row.
         """
-        sets = batch.where(F.size("words") > 0)
+        number = self.last + 1
+        self._stage(batch, F.lit(number))
+        return self._check(number)
+
+    def _check(self, number: int) -> DataFrame:
+        """Settles the staged batch ``number``, which comes after all before."""
+        sets, self.last = self._sets().where(F.col("batch") == number), number
         first = sets.groupBy("digest").agg(F.min("row").alias("row")).select("row")
-        size, found = Observation(), Observation()
-        new = f"{self.path}/sets/batch={self.batches}"
-        sets.join(first, "row").select("row", "words", "nums").observe(size, F.count(F.lit(1)).alias("n")).write.parquet(new)
-        reps = self.spark.read.schema("row bigint, words array<int>, nums bigint").parquet(new)
-        keys = self._keys(reps).persist()
-        groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi")).where("n > 1")
-        two = groups.where("n = 2").select(F.col("hi").alias("row"), F.col("lo").alias("other"))
-        many = keys.select("key", "row").join(groups.where(f"n > 2 and n <= {self.hot}").select("key"), "key")
-        pairs = two.union(many.join(many.select("key", F.col("row").alias("other")), "key").where("other < row").select("row", "other"))
+        keys = with_keys(sets.join(first, "row"), self.bands, self.rows).select("row", F.posexplode("keys").alias("band", "key"))
+        new = self._store(keys.select("key", "row", F.col("band").cast("smallint")), f"new{self.batches}")
+        mine = new.select("key", "row")
+        cand = written(pairs_in_groups(mine, self.hot), "candidates")
+        pairs = cand.where("hot is null").select("row", "other")
         if self.batches:
-            pairs = pairs.union(self._probe(keys, size.get["n"]))
-        edges = near_pairs(pairs.distinct(), reps, self._sets() if self.batches else reps)
-        edges = edges.join(reps.select(F.col("row").alias("other"), F.lit(True).alias("own")), "other", "left")
-        edges = written(edges.select("row", "other", F.coalesce("own", F.lit(False)).alias("own")).observe(found, F.count(F.lit(1)).alias("n")), "near")
-        hot = groups.where(f"n > {self.hot}").select("key")
-        if hot.isEmpty() and found.get["n"] <= ONE_TASK_EDGES:
+            old = self.spark.table(f"{self.name}_keys").select("key", F.col("row").alias("other"))
+            pairs = pairs.union(old.join(mine.hint("shuffle_hash"), "key").select("row", "other"))
+        found = Observation()
+        edges = near_pairs(pairs.distinct(), sets, self._sets().where(F.col("batch") <= number))
+        own = sets.select(F.col("row").alias("other"), F.lit(True).alias("own"))
+        edges = edges.join(own, "other", "left").select("row", "other", F.coalesce("own", F.lit(False)).alias("own"))
+        edges = written(edges.observe(found, F.count(F.lit(1)).alias("n")), "near")
+        few = found.get["n"] <= ONE_TASK_EDGES
+        hot = cand.where("hot is not null").select(F.col("hot").alias("key"), "row")
+        if few and hot.isEmpty():
             out = _resolve_small(edges)
         else:
             known = written(edges.where("not own").select("row").distinct(), "known")
             own = edges.where("own").join(known, "row", "left_anti").join(known.select(F.col("row").alias("other")), "other", "left_anti")
-            hot = written(keys.select("key", "row").join(hot, "key").join(known, "row", "left_anti"), "hot")
-            out = known.union(self._resolve(own.select("row", "other"), hot, reps))
-        keys.join(out, "row", "left_anti").select("key", "row", "band", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/keys")
-        keys.unpersist()
+            out = known.union(self._resolve(own.select("row", "other"), written(hot.join(known, "row", "left_anti"), "hot"), sets))
+        # no more rows than edges, or than the batch beyond that
+        self._store(new.join(F.broadcast(out) if few else out, "row", "left_anti").select("key", "row", "band"), "keys")
+        self.spark.sql(f"DROP TABLE {self.name}_new{self.batches}")
+        remove(self.spark, f"{self.path}/new{self.batches}")
         self.batches += 1
         return sets.select("row").join(self.accepted(), "row", "left_anti")
 
-    def _probe(self, keys: DataFrame, n: int) -> DataFrame:
-        """Candidate pairs (row of the batch, row of the history) from the matching partitions only."""
-        old = self._stored()
-        if n * self.bands < 16 * self.buckets:  # else every partition is met
-            old = old.where(F.col("bucket").isin([r[0] for r in keys.select("bucket").distinct().collect()]))
-        mine = keys.select("key", "row")
-        return old.select("key", F.col("row").alias("other")).join(F.broadcast(mine) if n * self.bands <= BROADCAST_KEYS else mine, "key").select("row", "other")
-
     def _resolve(self, edges: DataFrame, hot: DataFrame | None, reps: DataFrame) -> DataFrame:
         """Rejected rows in rounds: a row with no undecided row before it, neither
         along an edge nor in one of its hot keys, is accepted; its neighbours go."""
@@ -210,10 +269,9 @@ def turned_away(df: DataFrame, key: str = "row_no", text: str = "text", batch: s
     prepared once; the number of batches, not of rows, is what the driver loops over.
     """
     spark = df.sparkSession
-    rows = prepared(df.withColumn("_b", F.coalesce(F.col(batch).cast("bigint"), F.lit((1 << 62)))), key, text, ("_b",))
-    rows = written(rows, "prepared", ["_b"])
     history = History(spark, **index)
-    for (b,) in rows.select("_b").distinct().orderBy("_b").collect():
-        history.add(rows.where(F.col("_b") == b).drop("_b"))
-    gone = rows.where(F.size("words") > 0).select("row")
-    return (gone.join(history.accepted(), "row", "left_anti") if history.batches else gone).select(F.col("row").alias(key))
+    rows = prepared(df.select(key, text, F.coalesce(F.col(batch).cast("bigint"), F.lit(1 << 62)).alias("_b")), key, text, ("_b",))
+    history._stage(rows, F.col("_b"))
+    for (b,) in df.select(F.coalesce(F.col(batch).cast("bigint"), F.lit(1 << 62)).alias("_b")).distinct().orderBy("_b").collect():
+        history._check(b)
+    return history.turned_away().select(F.col("row").alias(key))

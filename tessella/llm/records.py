@@ -73,3 +73,8 @@ def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_uniq", F.array_sort(F.array_distinct("toks")))
     digest = F.struct(F.xxhash64("_uniq", "nums").alias("a"), F.xxhash64(F.lit(7), "_uniq", "nums").alias("b"))
     return df.withColumn("digest", digest).drop("_uniq")
+
+
+def word_map(words: str) -> Column:
+    """64 bits that the words of a set fall on: what is set in one and not in the other is a difference for sure."""
+    return F.expr(f"aggregate({words}, 0L, (m, w) -> m | shiftleft(1L, w & 63))")
