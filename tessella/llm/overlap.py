@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.history import near
-from tessella.llm.records import with_tokens
-from tessella.session import written
+from tessella.llm.history import near_pairs
+from tessella.llm.records import with_tokens, word_map
+from tessella.session import remove, scratch, written
 
 SHORT, LONG, WINDOW = 3, 8, 2
 #: A short gram on more training records than this is a set phrase.
@@ -191,6 +191,12 @@ def _extended(pairs: DataFrame) -> DataFrame:
     return pairs.select("erep", "trep", "te", "tt").mapInArrow(run, "erep bigint, trep bigint, chain int, words int")
 
 
+def _written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 class Overlap:
     """Overlaps of evaluation records with training records.
 
@@ -200,51 +206,49 @@ class Overlap:
     """
 
     def __init__(self, train: DataFrame, evals: DataFrame, key: str = "row_no", text: str = "text", extra: tuple[str, ...] = ()):
-        self.key = key
-
-        def side(df: DataFrame, keep: tuple[str, ...], name: str) -> DataFrame:
-            t = with_tokens(df.select(F.col(key).alias("row"), F.col(text).alias("_text"), *keep), "_text")
-            return written(t.select("row", "toks", "nums", "digest", *keep), name)
-
-        self.train, self.evals = side(train, (), "train"), side(evals, extra, "evals")
-
-    def _reps(self, side: DataFrame) -> DataFrame:
-        return side.where(F.size("toks") > 0).groupBy("digest").agg(F.min("row").alias("rep"))
+        self.key, self.extra = key, extra
+        pick = lambda df, keep, s: df.select(F.col(key).alias("row"), F.col(text).alias("_text"), F.lit(s).alias("side"), *keep)
+        none = [F.lit(None).cast(evals.schema[c].dataType).alias(c) for c in extra]
+        both = with_tokens(pick(train, none, 0).unionByName(pick(evals, extra, 1)), "_text").select("row", "side", "toks", "nums", "digest", *extra)
+        both, path = _written_at(both, "messages")
+        self.members = written(both.select("row", "side", "digest", F.size("toks").alias("size"), *extra), "members")
+        # one text stands for its copies; which one is a partial minimum a digest
+        first = both.where(F.size("toks") > 0).groupBy("side", "digest").agg(F.min("row").alias("row"))
+        self.reps = written(first.select("side", "digest", F.col("row").alias("rep")), "reps")
+        body = both.join(self.reps.select(F.col("rep").alias("row")), "row", "left_semi")
+        uniq = F.array_distinct("toks")
+        body = body.select("row", "side", "toks", "nums", uniq.alias("words"), F.size(uniq).alias("size"))
+        self.body = written(body.withColumn("map", word_map("words")).drop("words"), "bodies")
+        remove(train.sparkSession, path)
 
     def pairs(self) -> DataFrame:
         """``(erep, trep, chain, words)``: pairs of distinct records, each stood for by its first row; exact copies have one pair."""
-        treps, ereps = written(self._reps(self.train), "treps"), written(self._reps(self.evals), "ereps")
-        body = lambda side, reps: side.join(reps.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "toks", "nums")
-        t, e = body(self.train, treps), body(self.evals, ereps)
+        t, e = self.body.where("side = 0"), self.body.where("side = 1")
         often = phrase_counts(t).where(F.col("n") > OFTEN).orderBy(F.desc("n"), "gram").limit(LISTED).select("gram")
         phrases = np.sort(often.toPandas()["gram"].to_numpy(dtype=np.int64).view(np.uint64))
         ft, fe = fingerprints(t, phrases).withColumnRenamed("row", "trep"), fingerprints(e, phrases).withColumnRenamed("row", "erep")
-        found = fe.join(ft, "key").select("erep", "trep").distinct()
-        same = ereps.join(treps.select("digest", F.col("rep").alias("trep")), "digest").select(F.col("rep").alias("erep"), "trep")
+        found = fe.join(ft, "key").select("erep", "trep")
+        tr, er = self.reps.where("side = 0"), self.reps.where("side = 1")
+        same = er.select("digest", F.col("rep").alias("erep")).join(tr.select("digest", F.col("rep").alias("trep")), "digest").select("erep", "trep")
         found = found.union(same).distinct()
-        uniq = lambda c: F.array_distinct(F.col(c))
+        sets = lambda x: x.withColumn("words", F.array_distinct("toks"))
+        found = written(near_pairs(found, sets(e), sets(t), "erep", "trep"), "near")
         found = found.join(e.select(F.col("row").alias("erep"), F.col("toks").alias("te")), "erep").join(t.select(F.col("row").alias("trep"), F.col("toks").alias("tt")), "trep")
-        found = found.where(near(uniq("te"), uniq("tt")))
-        self._members = (ereps, treps)
         return written(_extended(found), "pairs")
 
     def rows(self) -> DataFrame:
         """``(train, eval)`` keys of every overlapping pair of rows."""
-        pairs = self.pairs()
-        ereps, treps = self._members
-        em = self.evals.select(F.col("row").alias("erow"), "digest").join(ereps, "digest").select("erow", F.col("rep").alias("erep"))
-        tm = self.train.select(F.col("row").alias("trow"), "digest").join(treps, "digest").select("trow", F.col("rep").alias("trep"))
-        return pairs.select("erep", "trep").join(em, "erep").join(tm, "trep").select(F.col("trow").alias(f"train_{self.key}"), F.col("erow").alias(f"eval_{self.key}"))
+        m = self.members.select("row", "side", "digest").join(self.reps, ["side", "digest"])
+        em = m.where("side = 1").select(F.col("row").alias("erow"), F.col("rep").alias("erep"))
+        tm = m.where("side = 0").select(F.col("row").alias("trow"), F.col("rep").alias("trep"))
+        return self.pairs().select("erep", "trep").join(em, "erep").join(tm, "trep").select(F.col("trow").alias(f"train_{self.key}"), F.col("erow").alias(f"eval_{self.key}"))
 
     def report(self, by: tuple[str, ...] = ("source",)) -> DataFrame:
         """Per group of evaluation rows: rows, rows that overlap, their number of
         links to different training records, and the mean share of their words that the best one covers."""
-        pairs = self.pairs()
-        ereps, _ = self._members
-        best = pairs.groupBy("erep").agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("links"))
-        size = self.evals.select("row", "digest", F.size("toks").alias("size"), *by)
-        hit = ereps.join(best, F.col("rep") == F.col("erep")).select("digest", "words", "links")
-        rows = size.join(hit, "digest", "left")
+        best = self.pairs().groupBy("erep").agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("links"))
+        hit = self.reps.where("side = 1").join(best, F.col("rep") == F.col("erep")).select("digest", "words", "links")
+        rows = self.members.where("side = 1").select("row", "digest", F.col("size"), *by).join(hit, "digest", "left")
         cover = F.least(F.col("words") / F.col("size"), F.lit(1.0))
         return rows.groupBy(*by).agg(
             F.count(F.lit(1)).alias("rows"),
