@@ -1,4 +1,4 @@
 """Registered queries of the core operators and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tessella.plans import eval_plans, extension_plans, retrieval_plans, split_plans, text_plans  # noqa: F401
+from tessella.plans.registry import ORACLES, QUERIES  # noqa: F401
