@@ -44,13 +44,13 @@ QUOTED_ON = re.compile(r"(?:と|って|という|とか)")
 
 STOPS = ".!?…。！？｡؟।॥۔"
 WIDE = "。！？｡"
-CLOSE = "”\"’'»)\\]）」』】》〉›“"
+CLOSE = "”\"'’»)\\]）」』】》〉›"
 QUOTES = {"«": "»", "„": "“", "“": "”", "‘": "’", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "《": "》", "【": "】", "‹": "›"}
 _MATES = {v: k for k, v in QUOTES.items()} | {"“": "„"}
 _MARK = re.compile("[" + re.escape("".join(QUOTES) + "".join(QUOTES.values()) + '"') + "]")
 _BLANK = re.compile(r"(?:\r\n|[\n\r\u0085  ])[^\S\n]*(?:(?:\r\n|[\n\r\u0085 ])[^\S\n]*)+| ")
 #: Where a span may end: stops with their closing marks, or a Thai particle before a blank.
-_CAND = re.compile(rf"[{STOPS}]+(?:[{CLOSE}]|[\s ]»)*|(?:{THAI_END})[{CLOSE}]*(?=\s|$)")
+_CAND = re.compile(rf"[{STOPS}]+(?:[{CLOSE}]|“(?=[\s,;:.!?)—–-]|$)|[\s\u00a0\u202f]»)*|(?:{THAI_END})[{CLOSE}]*(?=\s|$)")
 _L = "(?:[^\\W_]|[\u0300-\u036F\u064B-\u065F\u0900-\u0903\u093A-\u094F\u0951-\u0963\u0E31\u0E34-\u0E3A\u0E47-\u0E4E\u00AD])"
 _WORD = re.compile(f"{_L}+(?:[’'\\-]{_L}+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
