@@ -32,7 +32,7 @@ def encoded(df: DataFrame, key: str = "row_no", text: str = "text") -> DataFrame
     and give no row. Repeated keys are allowed to share cells only if their
     texts are equal; ``key`` is expected to be unique and below 2^43.
     """
-    rec = with_fields(df.select(F.col(key).alias("_key"), F.col(text).alias("_t")), "_t").where(F.col("_clean") != "")
+    rec = with_fields(df.select(F.col(key).alias("_key"), F.col(text).alias("_t")), "_t")
     free = F.array(F.struct(F.lit("").alias("name"), F.col("_clean").alias("value")))
     cells = rec.select("_key", F.posexplode(F.coalesce("_fields", free)).alias("_pos", "_f"))
     cells = cells.select("_key", "_pos", "_f.name", "_f.value", _digest(F.col("_f.name"), F.col("_f.value")).alias("raw"))
