@@ -161,11 +161,12 @@ class History:
         return self.spark.table(f"{self.name}_{what}")
 
     def _sets(self) -> DataFrame:
-        return self.spark.read.schema(f"{SETS}, batch bigint").parquet(f"{self.path}/sets")
+        return self.spark.read.schema(f"{SETS}, batch bigint").parquet(f"{self.path}/sets").where("size > 0")
 
     def _stage(self, rows: DataFrame, batch: Column) -> None:
         """Keeps the word sets of ``rows(row, words, nums, digest)`` under their batch."""
-        sets = rows.where(F.size("words") > 0).select("row", "words", "nums", "digest", word_map("words").alias("map"), F.size("words").alias("size"), batch.cast("bigint").alias("batch"))
+        # rows without words are left out where this is read: a filter here would be pushed below the parsing and repeat it
+        sets = rows.select("row", "words", "nums", "digest", word_map("words").alias("map"), F.size("words").alias("size"), batch.cast("bigint").alias("batch"))
         sets.write.mode("append").option("compression", "zstd").partitionBy("batch").parquet(f"{self.path}/sets")
 
     def accepted(self) -> DataFrame:
