@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -58,7 +59,13 @@ _LISTED = re.compile(r"\(?\d{1,3}[.)]\s+[«“„\"(¿¡]*(?=[^\W\d_])")
 _NUMBER = re.compile(r"\(?\d{1,3}[.)]$")
 _SHIFT = {ord(c): None for c in "­​‌‍⁠﻿"}
 _AFTER_NUMBER = re.compile(r"\d[\s\xa0]*$")
-_DOTTED = re.compile(rf"{_L}+$")
+#: A word after a word or comma and one blank; a dotted word, what follows it, and its first letter.
+_INSIDE = re.compile(rf"(?<=[\w,])[ \n]({_L}+(?:[’'\-]{_L}+)*)")
+_AFTER_DOT = re.compile(rf"({_L}+)\.([,\s]{{1,2}})(?=([^\W_]))")
+#: First letters after stops.
+_FIRSTS = re.compile(r"[.!?…][»”\")]*\s+[«“„\"(—–-]*\s*([^\W\d_])")
+#: Score of a span's length, by its characters.
+_LENGTH = [-9.0] + [-0.15 * abs(math.log(n / 60.0)) - (1.0 if n < 3 else 0.0) for n in range(1, 2048)]
 #: Spans look back over so many possible ends.
 LOOK_BACK = 24
 
@@ -101,35 +108,44 @@ def _void(c: str) -> bool:
     return c.isspace() or c in "​﻿⁠­‌‍"
 
 
-def observed(text: str, seen: Counter) -> None:
-    """Adds what a text shows beyond doubt: words that open a block (``o``) or
-    stand inside a clause (``m``), and dotted words followed by a small letter,
-    comma or colon (``a``) or by anything else (``e``)."""
-    low = text != text.lower()
-    for a, b in blocks(text):
-        i = _first(text, a, b)
-        w = _key(text, i)
-        if w and w[0] != "~":
-            seen["o", w] += 1
-            seen["o", "~" + w.lower()] += 1
-        elif w and not w[1:2].isdigit():
-            seen["o", w] += 1
-        last = a
-        for m in _WORD.finditer(text, a, b):
-            s = m.start()
-            between = text[last:s]
-            if between == " " or between == ", " or between == "\n":
-                g = m.group()
-                if s != i and not _CJK.match(g):
-                    if g[0].isupper():
-                        seen["m", g.translate(_SHIFT)] += 1
-                        g = g.lower()
-                    seen["m", "~" + g.translate(_SHIFT)] += 1
-            elif low and between[:1] == "." and len(between) <= 3:
-                w = _DOTTED.search(text, max(a, last - 24), last)
-                if w:
-                    seen["a" if text[s].islower() or "," in between else "e", w.group().lower()] += 1
-            last = m.end()
+class Seen:
+    """What texts show beyond doubt: words that open a block (``o``) or stand inside a
+    clause (``m``), and dotted words followed by a small letter or comma (``a``) or by
+    anything else (``e``)."""
+
+    def __init__(self) -> None:
+        self.opens: Counter = Counter()
+        self.inside: Counter = Counter()
+        self.dotted: Counter = Counter()
+
+    def __len__(self) -> int:
+        return len(self.opens) + len(self.inside) + len(self.dotted)
+
+    def add(self, text: str) -> None:
+        for a, b in blocks(text):
+            w = _key(text, _first(text, a, b))
+            if w and not w.lstrip("~")[:1].isdigit():
+                self.opens[w] += 1
+        self.inside.update(_INSIDE.findall(text))
+        if text != text.lower():
+            self.dotted.update(_AFTER_DOT.findall(text))
+
+    def rows(self) -> Counter:
+        """``(kind, word) -> n`` with words as :func:`_key` has them; capitalised ones count in small letters too."""
+        out: Counter = Counter()
+        for w, n in self.opens.items():
+            out["o", w] += n
+            if w[0] != "~":
+                out["o", "~" + w.lower()] += n
+        for w, n in self.inside.items():
+            if not _CJK.match(w):
+                w = w.translate(_SHIFT)
+                if w[:1].isupper():
+                    out["m", w] += n
+                out["m", "~" + w.lower()] += n
+        for (w, between, c), n in self.dotted.items():
+            out["a" if c.islower() or "," in between else "e", w.lower()] += n
+        return out
 
 
 def statistics(docs: DataFrame, text: str = "text", words: int = 200_000, least: int = 2) -> DataFrame:
@@ -138,19 +154,19 @@ def statistics(docs: DataFrame, text: str = "text", words: int = 200_000, least:
     table is bounded: the ``words`` most frequent of each kind are kept, others score 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen = Seen()
 
         def out() -> pa.RecordBatch:
-            rows = list(seen.items())
-            seen.clear()
+            rows = list(seen.rows().items())
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["kind", "word", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    observed(t, seen)
+                    seen.add(t)
             if len(seen) > 300_000:
                 yield out()
+                seen = Seen()
         yield out()
 
     n = docs.select(F.col(text).alias("t")).mapInArrow(run, "kind string, word string, n bigint")
@@ -199,7 +215,11 @@ class Cutter:
         NULL, empty and blank texts have none; text without any stop is one sentence a block."""
         if not text:
             return []
-        cased = sum(1 for c in text[:20000] if c.isupper()) * 200 > len(text) or text != text.lower()
+        first = _FIRSTS.findall(text)
+        small = sum(map(str.islower, first))
+        large = sum(map(str.isupper, first))
+        # where few stops are followed by capitals, capitals tell nothing
+        cased = large > 0.3 * (large + small) if large + small > 3 else sum(map(str.isupper, text)) * 100 > len(text)
         out: list[tuple[int, int]] = []
         for a, b in blocks(text):
             out += self._block(text, a, b, cased)
@@ -348,9 +368,9 @@ class Cutter:
         n = len(ends)
         inside = [0] * n  # matched marks open across an end
         if po:
+            pc.sort()
             for k in range(n - 1):
-                e = ends[k]
-                inside[k] = sum(1 for p, q in zip(po, pc, strict=True) if p < e <= q)
+                inside[k] = bisect_left(po, ends[k]) - bisect_left(pc, ends[k])
         best = [-1e18] * n
         back = [-1] * n
         for k in range(n):
@@ -379,10 +399,7 @@ class Cutter:
         size = e - s
         if size <= 5 and _NUMBER.match(text[s:e]):
             return -9.0
-        v = -0.15 * abs(math.log(size / 60.0))
-        if size < 3:
-            v -= 1.0
-        return v
+        return _LENGTH[size] if size < len(_LENGTH) else -0.15 * math.log(size / 60.0)
 
 
 def _held(stats: DataFrame) -> Cutter:
