@@ -200,8 +200,8 @@ def held_words(item: list[str], key: list[bool], doc: list[str], shift: int, ban
 def _longest(ops: list[tuple[int, int]], key: list[bool]) -> int:
     """Item words of the longest allowed run in an alignment: cut where a word was
     lost beside something added (that is, exchanged), then as long as edits stay
-    near one in five and no more numbers and names are lost than held. A run of
-    ``LEAST`` words may lack one."""
+    near one in five and no more numbers and names are lost than held. ``LEAST`` words
+    of it must be there, misspelt or not."""
     cuts: list[list[tuple[int, int]]] = [[]]
     for p, (t, i) in enumerate(ops):
         if t in (4, 5) and p and ops[p - 1][0] == 9 - t:
@@ -220,7 +220,7 @@ def _longest(ops: list[tuple[int, int]], key: list[bool]) -> int:
                 size = run[q][1] - run[p][1] + 1
                 if q <= p or size <= top:
                     break
-                if bad[q + 1] - bad[p] <= EDITED * size + 0.5 and keys[q + 1] >= keys[p] and have[q + 1] - have[p] >= min(size, LEAST - 1):
+                if bad[q + 1] - bad[p] <= EDITED * size + 0.5 and keys[q + 1] >= keys[p] and have[q + 1] - have[p] >= min(size, LEAST):
                     top = size
                     break
     return top
