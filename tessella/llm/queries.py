@@ -92,4 +92,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_sample, p4_found, p5_found, p5_records, p6_found, p6_packing, p6_waste, p7_found, p8_found)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p2_found": r"""
+WITH RECURSIVE r AS (SELECT row_no, regexp_extract_all(lower(coalesce(seed_id, '')), '(?:seed[\s_\-№#]*|#\s*|№\s*|^[\s"'']*|[;|+/,]\s*)0*([1-9][0-9]{0,6})', 1) AS s FROM d1_v6_hard_test),
+n AS (SELECT row_no, unnest(s)::BIGINT AS v FROM r WHERE len(s) > 0),
+e AS (SELECT DISTINCT a.v AS u, b.v AS v FROM n a JOIN n b USING (row_no) WHERE a.v <> b.v),
+c(u, v) AS (SELECT u, v FROM e UNION SELECT c.u, e.v FROM c JOIN e ON c.v = e.u),
+l AS (SELECT u, least(u, min(v)) AS g FROM c GROUP BY u),
+g AS (SELECT DISTINCT row_no, coalesce(g, n.v) AS g FROM n LEFT JOIN l ON l.u = n.v),
+k AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1)
+SELECT row_no, 'seed_' || lpad(g::VARCHAR, 7, '0') AS group_seed FROM g WHERE g IN (SELECT g FROM k)""",
+    "p6_found": "SELECT pack_id, doc_id FROM documents JOIN packs ON strlen(text) + 1 > capacity_tokens WHERE text <> ''",
+}
