@@ -80,9 +80,9 @@ def near_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, row: str = "
     Maps (16 bytes) go first and drop most pairs; only the rest meet their words."""
     side = lambda df, name, x: df.select(F.col("row").alias(name), F.col("map").alias(f"m{x}"), F.col("size").alias(f"n{x}"))
     some = pairs.join(side(left, row, "a"), row).join(side(right, other, "b"), other)
-    some = some.where(may_be_near(F.col("ma"), F.col("na"), F.col("mb"), F.col("nb"))).select(row, other)
+    some = some.where(may_be_near(F.col("ma"), F.col("na"), F.col("mb"), F.col("nb"))).select(*pairs.columns)
     a, b = left.select(F.col("row").alias(row), F.col("words").alias("wa")), right.select(F.col("row").alias(other), F.col("words").alias("wb"))
-    return some.join(a, row).join(b, other).where(near(F.col("wa"), F.col("wb"))).select(row, other)
+    return some.join(a, row).join(b, other).where(near(F.col("wa"), F.col("wb"))).select(*pairs.columns)
 
 
 def pairs_in_groups(keys: DataFrame, most: int) -> DataFrame:
@@ -201,14 +201,12 @@ class History:
         new = self._store(keys.select("key", "row", F.col("band").cast("smallint")), f"new{self.batches}")
         mine = new.select("key", "row")
         cand = written(pairs_in_groups(mine, self.hot), "candidates")
-        pairs = cand.where("hot is null").select("row", "other")
+        pairs = cand.where("hot is null").select("row", "other", F.lit(True).alias("own"))
         if self.batches:
             old = self.spark.table(f"{self.name}_keys").select("key", F.col("row").alias("other"))
-            pairs = pairs.union(old.join(mine.hint("shuffle_hash"), "key").select("row", "other"))
+            pairs = pairs.union(old.join(mine.hint("shuffle_hash"), "key").select("row", "other", F.lit(False).alias("own")))
         found = Observation()
         edges = near_pairs(pairs.distinct(), sets, self._sets().where(F.col("batch") <= number))
-        own = sets.select(F.col("row").alias("other"), F.lit(True).alias("own"))
-        edges = edges.join(own, "other", "left").select("row", "other", F.coalesce("own", F.lit(False)).alias("own"))
         edges = written(edges.observe(found, F.count(F.lit(1)).alias("n")), "near")
         few = found.get["n"] <= ONE_TASK_EDGES
         hot = cand.where("hot is not null").select(F.col("hot").alias("key"), "row")
@@ -242,7 +240,7 @@ class History:
             if hot is not None:
                 star = led.where("row <> lead").select("row", F.col("lead").alias("other")).distinct()
                 star = star.join(free.select(F.col("row").alias("other")), "other", "left_semi")
-                gone = gone.union(near_pairs(star, reps, reps).select("row"))
+                gone = gone.union(near_pairs(star.select("row", "other"), reps, reps).select("row"))
             gone = written(gone.distinct(), f"gone{k}")
             out = gone if out is None else out.union(gone)
             done = gone.union(free)
