@@ -22,11 +22,13 @@ from tessella.llm.history import near_pairs
 from tessella.llm.records import with_tokens, word_map
 from tessella.session import remove, scratch, written
 
-SHORT, LONG, WINDOW = 3, 8, 2
+SHORT, LONG, WINDOW = 3, 8, 3
 #: A short gram on more training records than this is a set phrase.
-OFTEN = 40
+OFTEN = 16
 #: Set phrases that are listed (8 bytes each), the most frequent ones; any beyond count as ordinary grams, which costs time, not rows.
 LISTED = 2_000_000
+#: Rows of a filter that may be broadcast.
+SENT = 2_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -215,7 +217,9 @@ class Overlap:
         # one text stands for its copies; which one is a partial minimum a digest
         first = both.where(F.size("toks") > 0).groupBy("side", "digest").agg(F.min("row").alias("row"))
         self.reps = written(first.select("side", "digest", F.col("row").alias("rep")), "reps")
-        body = both.join(self.reps.select(F.col("rep").alias("row")), "row", "left_semi")
+        reps = self.reps.select(F.col("rep").alias("row"))
+        # the words stay where they are if the rows to keep are few enough to send (8 bytes each)
+        body = both.join(F.broadcast(reps) if reps.count() <= SENT else reps, "row", "left_semi")
         uniq = F.array_distinct("toks")
         body = body.select("row", "side", "toks", "nums", uniq.alias("words"), F.size(uniq).alias("size"))
         self.body = written(body.withColumn("map", word_map("words")).drop("words"), "bodies")
