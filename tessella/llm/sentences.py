@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import written
+
 
 # Abbreviations that call for what follows (names, numbers, places).
 CALLING = frozenset(
@@ -173,7 +175,7 @@ def statistics(docs: DataFrame, text: str = "text", words: int = 200_000, least:
     flip = F.when(F.col("kind").isin("o", "m"), "o").otherwise("a")
     yes = F.sum(F.when(F.col("kind").isin("o", "a"), F.col("n")).otherwise(0))
     t = n.groupBy("word", flip.alias("kind")).agg(yes.alias("yes"), F.sum("n").alias("all")).where(F.col("all") >= least)
-    t = t.withColumn("score", F.log((F.col("yes") + 0.5) / (F.col("all") - F.col("yes") + 0.5)))
+    t = written(t.withColumn("score", F.log((F.col("yes") + 0.5) / (F.col("all") - F.col("yes") + 0.5))), "openings")  # read twice
     top = lambda k: t.where(F.col("kind") == k).orderBy(F.desc("all"), "word").limit(words)
     return top("o").union(top("a")).select("word", "kind", "score")
 

@@ -22,6 +22,14 @@ def test_sentences_by_language():
     assert cut("ทานยา 4 ครั้งต่อวัน หลังอาหารค่ะ เจ็บไหมคะ") == ["ทานยา 4 ครั้งต่อวัน หลังอาหารค่ะ", "เจ็บไหมคะ"]
 
 
+def test_sentences_without_capitals():
+    units = ["это больно?!", "не терпите: звоните!", "приём стоит 9 300 руб. за один зуб.", "филиал находится на ул. лунной в д. 20, вход со двора.", "осмотр проходит утром."]
+    cutter = Cutter({"~" + u.split()[0]: 1.0 for u in units} | {"~за": -3.0, "~лунной": -3.0})
+    text = " ".join(units)
+    assert [text[a:b] for a, b in cutter.cut(text)] == units
+    assert cut("В перерыв.Версия памятки 47.3.16 действует.") != []
+
+
 def test_sentences_edges(spark):
     assert cut("Заголовок\n\nПервая строка\nпродолжается. Вторая.\n \n(Скобки.)") == ["Заголовок", "Первая строка\nпродолжается.", "Вторая.", "(Скобки.)"]
     assert cut("") == [] and cut(" \n\n ") == [] and Cutter().cut(None) == []
