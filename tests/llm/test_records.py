@@ -72,6 +72,33 @@ def test_history_is_greedy_in_order(spark):
     assert history.turned_away(df.where("false")).count() == 0
 
 
+def at_the_limit(seed, n, gone=7):
+    """Pairs of 30 words of which ``gone`` are exchanged all over the text: 7 leave 23 common words of 37."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.sample("абвгдежзиклмнопрст", 7)) for _ in range(4000)]
+    a = [rng.sample(vocab, 30) for _ in range(n)]
+    b = [[f"{w}ъ" if k in lost else w for k, w in enumerate(x)] for x in a for lost in [set(rng.sample(range(30), gone))]]
+    return [" ".join(x) for x in a], [" ".join(x) for x in b]
+
+
+def test_history_at_the_limit(spark):
+    a, b = at_the_limit(8, 300)
+    assert all(near(x, y) for x, y in zip(words_of(spark, a), words_of(spark, b), strict=True))
+    df = frame(spark, a + b).withColumn("batch_no", (F.col("row_no") > len(a)).cast("int"))
+    assert {r[0] for r in history.turned_away(df).collect()} == set(range(len(a) + 1, 2 * len(a) + 1))
+
+
+def test_history_of_hot_keys(spark):
+    texts = near_texts(3)
+    df = frame(spark, texts).withColumn("batch_no", (F.col("row_no") % 3).cast("int"))
+    want = {r[0] for r in history.turned_away(df).collect()}
+    assert {r[0] for r in history.turned_away(df, hot=2, sifted=2).collect()} == want  # settled in rounds
+    keys = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (2, 3)], "key bigint, row bigint")
+    sets = spark.createDataFrame([(1, 0b1111, 4), (2, 0b1110, 3), (3, 0b110000, 2)], "row bigint, map bigint, size int")
+    got = lambda most: {tuple(r) for r in history.sifted_pairs(keys, sets, most).collect()}
+    assert got(9) == {(2, 1, None)} and got(2) == {(k, None, 1) for k in (1, 2, 3)}
+
+
 def test_history_by_batches(spark):
     h = history.History(spark)
     assert h.turned_away().count() == 0
