@@ -4,12 +4,14 @@ Winnowing over word grams: rolling hashes, the minimum of each window is kept as
 a fingerprint, fingerprints are joined across the splits, the common grams of a
 pair are chained in order and the chain is extended by alignment. Short grams
 that the training side holds often (set phrases) give way to longer ones at the
-same place, so a phrase shared by a third of all rows joins nothing by itself
-and no row is left out for it.
+same place, so a phrase shared by a third of all rows joins nothing by itself.
+Pairs that this leaves apart (all they share is frequent, edited or in another
+order) meet in bands of minwise hashes, which know neither counts nor places.
 """
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.history import near_pairs
+from tessella.llm.history import BANDS, ROWS, may_be_near, near_pairs, with_keys
 from tessella.llm.records import with_tokens, word_map
 from tessella.session import remove, scratch, written
 
@@ -27,6 +29,8 @@ SHORT, LONG, WINDOW = 3, 8, 3
 OFTEN = 16
 #: Set phrases that are listed (8 bytes each), the most frequent ones; any beyond count as ordinary grams, which costs time, not rows.
 LISTED = 2_000_000
+#: Bands that are joined at a time; their tables are dropped before the next ones are written.
+AT_ONCE = 16
 #: Rows of a filter that may be broadcast.
 SENT = 2_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -199,6 +203,29 @@ def _written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def banded(e: DataFrame, t: DataFrame) -> DataFrame:
+    """``(erep, trep)`` of the rows of ``e`` and ``t`` (row, toks, nums, map, size) that meet in one of ``BANDS`` bands of
+    ``ROWS`` minwise hashes and whose word maps allow them to be near-same. Keys lie in tables bucketed by key, so no join shuffles them."""
+    spark, out = e.sparkSession, None
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for k in range(-(-BANDS // AT_ONCE)):
+        sides, paths, names = [], [], []
+        for df, row, x in ((e, "erep", "e"), (t, "trep", "t")):
+            keys = with_keys(df.withColumn("words", F.col("toks")), min(AT_ONCE, BANDS - k * AT_ONCE), ROWS, k + 1, ("map", "size"))
+            paths.append(scratch(spark, "bands"))
+            names.append(f"tessella_{uuid.uuid4().hex}")
+            keys = keys.select(F.explode("keys").alias("key"), F.col("row").alias(row), F.col("map").alias(f"m{x}"), F.col("size").alias(f"n{x}"))
+            keys.write.format("parquet").bucketBy(buckets, "key").option("path", paths[-1]).saveAsTable(names[-1])
+            sides.append(spark.table(names[-1]))
+        met = sides[0].join(sides[1].hint("shuffle_hash"), "key").where(may_be_near(F.col("me"), F.col("ne"), F.col("mt"), F.col("nt"))).select("erep", "trep")
+        met = written(met, "met")
+        out = met if out is None else out.union(met)
+        for name, path in zip(names, paths, strict=True):
+            spark.sql(f"DROP TABLE {name}")
+            remove(spark, path)
+    return out
+
+
 class Overlap:
     """Overlaps of evaluation records with training records.
 
@@ -234,7 +261,7 @@ class Overlap:
         found = fe.join(ft, "key").select("erep", "trep")
         tr, er = self.reps.where("side = 0"), self.reps.where("side = 1")
         same = er.select("digest", F.col("rep").alias("erep")).join(tr.select("digest", F.col("rep").alias("trep")), "digest").select("erep", "trep")
-        found = found.union(same).distinct()
+        found = found.union(same).union(banded(e, t)).distinct()
         sets = lambda x: x.withColumn("words", F.array_distinct("toks"))
         found = written(near_pairs(found, sets(e), sets(t), "erep", "trep"), "near")
         found = found.join(e.select(F.col("row").alias("erep"), F.col("toks").alias("te")), "erep").join(t.select(F.col("row").alias("trep"), F.col("toks").alias("tt")), "trep")

@@ -123,6 +123,20 @@ def test_overlap(spark):
     assert overlap.Overlap(train, evals.where("false")).rows().count() == 0
 
 
+def test_overlap_at_the_limit(spark):
+    a, b = at_the_limit(9, 300)
+    rng = random.Random(10)
+    slots = [[["".join(rng.sample("абвгдежзиклмнопрст", 7)) for _ in range(10)] for _ in range(6)] for _ in range(3)]
+    for x in (sum(x, []) for x in itertools.product(*slots)):  # all grams but those across slots stand on 36 rows, and those across are edited
+        a.append(" ".join(x))
+        b.append(" ".join(f"{w}ъ" if k in (4, 9, 10, 14, 19, 20, 25) else w for k, w in enumerate(x)))
+    a.append(a[0])
+    b.append(" ".join(sorted(a[1].split())))  # the words in another order
+    train, evals = words_of(spark, a), words_of(spark, b)
+    want = {(j + 1, k + 1) for j, x in enumerate(train) for k, y in enumerate(evals) if near(x, y)}
+    assert len(want) >= 516 and {tuple(r) for r in overlap.Overlap(frame(spark, a), frame(spark, b).withColumn("row_no", F.col("row_no") + 1000)).rows().collect()} == {(j, k + 1000) for j, k in want}
+
+
 def test_aligned():
     a = list(range(40))
     assert overlap.aligned(a, a)[1] == 40
