@@ -1,9 +1,9 @@
 """Evaluation texts leaking into training text.
 
-Word n-grams of the test items that are rare in the corpus seed pairs of a
-document and an item's sentence; seeds on one diagonal open a pair, and a
-Smith-Waterman alignment over words decides how much of the sentence the
-document holds, be it edited.
+Word pairs of the test items, frequent or not, seed pairs of a document and an
+item's sentence; as many seeds on near diagonals as any allowed copy has open a
+pair, and a Smith-Waterman alignment over words decides how much of the sentence
+the document holds, be it edited.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from tessella.llm.sentences import Cutter
 from tessella.session import written
 
 #: Words of a seed, words in a row that make a leak, items that make a sentence stock text.
-GRAM, LEAST, STOCK = 3, 10, 10
+GRAM, LEAST, STOCK = 2, 10, 10
 #: Share of a run's words that may be edited.
 EDITED = 0.25
+#: Words to either side of a diagonal that an alignment may reach.
+BAND = 7
 #: Items held by the driver and every task at a time; more are taken in blocks.
 ITEMS = 20_000
 
@@ -119,7 +121,7 @@ def alike(a: str, b: str, key: bool) -> int:
     return int(close(a, b, 1 if key or n < 7 else 2)) if n >= 3 else 0
 
 
-def held_words(item: list[str], key: list[bool], doc: list[str], shift: int, band: int = 7) -> int:
+def held_words(item: list[str], key: list[bool], doc: list[str], shift: int, band: int = BAND) -> int:
     """Longest run of ``item``'s words that ``doc`` holds around the diagonal ``shift``.
 
     Smith-Waterman over words: same 2, misspelt 1, lost or added -1.4. Words broken
@@ -241,83 +243,89 @@ class Items:
                     first.setdefault(tuple(w), (w, k))
         self.sentences = [(w, k, sorted(where[t])) for t, (w, k) in sorted(first.items()) if len(w) >= least and len(where[t]) < stock]
         held: dict[str, int] = {}
-        seeds = []
+        self.codes: list[tuple[list[int], list[int]]] = []  # of the words, and of each two run together
+        seeds = set()
         for s, (w, _, _) in enumerate(self.sentences):
-            for p, g in enumerate(grams(np.array(_codes(w, held), np.int64)).tolist()):
-                seeds.append((g, s, p))
-        self.seeds = seeds
-        self.grams = np.unique(np.array([g for g, _, _ in seeds], np.int64))
-
-
-def _hits(docs: DataFrame, key: str, text: str, items: Items) -> DataFrame:
-    """``(key, gram, pos)`` of every gram of every document that some item has, whole texts."""
-    kind = docs.schema[key].dataType.simpleString()
-    wanted = items.grams
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
-        for b in batches:
-            if len(held) > 2_000_000:
-                held.clear()
-            codes, sizes = [], []
-            for t in b.column(1).to_pylist():
-                c = _codes(words(t), held) if t else []
-                codes += c
-                sizes.append(len(c))
-            size = np.array(sizes, np.int64)
-            g = grams(np.array(codes, np.int64))
-            doc = np.repeat(np.arange(len(size)), size)
-            pos = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-            n = len(g)
-            at = np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)
-            ok = (wanted[at] == g) & (doc[:n] == doc[GRAM - 1 : GRAM - 1 + n]) if n else np.zeros(0, bool)
-            w = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[w])), pa.array(g[w]), pa.array(pos[w].astype(np.int32))], [key, "gram", "pos"])
-
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, gram bigint, pos int")
-
-
-def _block(docs: DataFrame, rows: list[tuple[str, str]], key: str, text: str, sample: str, rare: float, least: int, stock: int) -> DataFrame:
+            one, two = _codes(w, held), _codes([x + y for x, y in zip(w, w[1:], strict=False)], held)
+            self.codes.append((one, two))
+            for p in range(len(w)):
+                for c, q in [(one[p], p + 1)] + ([(two[p], p + 2)] if p < len(two) else []):
+                    for e in one[q : q + 1] + two[q : q + 1]:
+                        seeds.add((int(grams(np.array([c, e], np.int64))[0]), s, p))
+        table = np.array(sorted(seeds), np.int64).reshape(-1, 3)
+        self.grams, self.start = np.unique(table[:, 0], return_index=True)
+        self.start = np.r_[self.start, len(table)]
+        self.sent, self.place = table[:, 1], table[:, 2]
+
+    def opened(self, codes: list[int], least: int) -> list[tuple[int, int]]:
+        """``(sentence, diagonal)`` at which a document of these words may hold a run of ``least`` words.
+
+        A run of n words has e <= n * ``EDITED`` + 0.5 edits, which leave n - e words in at most e + 1 pieces
+        and so n - 2e - 1 pairs of neighbours (words run together count as one word, which is why they seed too),
+        and n - e of its words stand in the document as they are or run together.
+        """
+        g = grams(np.array(codes, np.int64))
+        at = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
+        pos = np.flatnonzero(self.grams[at] == g)
+        if not len(pos):
+            return []
+        first = self.start[at[pos]]
+        size = self.start[at[pos] + 1] - first
+        seed = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        pos = np.repeat(pos, size)
+        sent, d = self.sent[seed], pos - self.place[seed]
+        # diagonals in two overlapping rows of bins of 16: seeds up to 8 apart share one
+        base = np.r_[sent, sent] << 32
+        key = base + (1 << 31) + np.r_[(d // 16) * 2, ((d + 8) // 16) * 2 + 1]
+        order = np.lexsort((np.r_[pos, pos], key))
+        k, q = key[order], np.r_[pos, pos][order]
+        new = np.r_[True, k[1:] != k[:-1]]
+        fresh = new | np.r_[True, q[1:] != q[:-1]]
+        count = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(new))
+        most = int(EDITED * least + 0.5)
+        ok = np.repeat(count >= max(1, least - 2 * most - 1), np.diff(np.r_[np.flatnonzero(new), len(k)]))
+        pick = order[ok] % len(d)
+        out = []
+        for x in np.unique((sent[pick] << 32) + (1 << 31) + d[pick] // 4).tolist():
+            s, shift = x >> 32, ((x & 0xFFFFFFFF) - (1 << 31)) * 4 + 2
+            one, two = self.codes[s]
+            there = set(codes[max(0, shift - BAND) : max(0, shift + len(one) + BAND)])
+            if sum(c in there for c in one) + 2 * sum(c in there for c in two) >= least - most:
+                out.append((s, shift))
+        return out
+
+
+def _block(docs: DataFrame, rows: list[tuple[str, str]], key: str, text: str, sample: str, least: int, stock: int) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     items = Items(rows, least, stock)
     if not items.sentences:
         return spark.createDataFrame([], f"{key} {kind}, {sample} string, words int")
-    hits = written(_hits(docs, key, text, items), "hits")
-    often = hits.groupBy("gram").agg(F.countDistinct(key).alias("df"))
-    bound = F.broadcast(spark.createDataFrame(items.seeds, "gram bigint, sent int, ipos int"))  # bounded by ITEMS
-    total = docs.count()
-    often = F.broadcast(often.select("gram", (F.col("df") <= max(20.0, rare * total)).alias("rare")))  # one row a seed
-    d = F.col("pos") - F.col("ipos")
-    seeded = hits.join(often, "gram").join(bound, "gram").select(key, "sent", "rare", d.alias("d"), "ipos")
-    # diagonals in two overlapping rows of bins of 6, so that seeds 3 apart share one
-    bins = F.explode(F.array(F.floor(F.col("d") / 6) * 2, F.floor((F.col("d") + 3) / 6) * 2 + 1)).alias("bin")
-    opened = seeded.select(key, "sent", "rare", "d", "ipos", bins).groupBy(key, "sent", "bin")
-    opened = opened.agg(F.countDistinct("ipos").alias("n"), F.max(F.col("rare").cast("int")).alias("r"), F.min("d").alias("d0"), F.max("d").alias("d1"))
-    # two seeds with a rare one open a pair; set phrases alone do so from four on
-    opened = opened.where("(n >= 2 and r = 1) or n >= 4").select(key, "sent", F.floor((F.col("d0") + F.col("d1")) / 2).cast("int").alias("d"))
-    opened = opened.groupBy(key, "sent").agg(F.array_sort(F.collect_set("d")).alias("ds"))
-    pairs = opened.groupBy(key).agg(F.collect_list(F.struct("sent", "ds")).alias("pairs"))  # of one document: bounded by its length and the items
-    sentences = spark.sparkContext.broadcast(items.sentences)
+    shared = spark.sparkContext.broadcast(items)  # bounded by ITEMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = shared.value, {}
         for b in batches:
+            if len(held) > 2_000_000:
+                held.clear()
             at, names, size = [], [], []
-            for r, (t, ps) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                doc = words(t)
-                for p in ps:
-                    item, k, samples = sentences.value[p["sent"]]
-                    n = max(held_words(item, k, doc, d) for d in p["ds"])
+            for r, t in enumerate(b.column(1).to_pylist()):
+                doc = words(t) if t else []
+                best: dict[int, int] = {}
+                for s, shift in own.opened(_codes(doc, held), least):
+                    best[s] = max(best.get(s, 0), held_words(*own.sentences[s][:2], doc, shift))
+                for s, n in best.items():
                     if n >= least:
+                        samples = own.sentences[s][2]
                         at += [r] * len(samples)
                         names += samples
                         size += [n] * len(samples)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(size, pa.int32())], [key, sample, "words"])
 
-    return docs.select(key, text).join(pairs, key).mapInArrow(run, f"{key} {kind}, {sample} string, words int").groupBy(key, sample).agg(F.max("words").alias("words"))
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, {sample} string, words int").groupBy(key, sample).agg(F.max("words").alias("words"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", sample: str = "sample_id", answer: str = "expected_answer", rare: float = 0.002, least: int = LEAST, stock: int = STOCK) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", sample: str = "sample_id", answer: str = "expected_answer", least: int = LEAST, stock: int = STOCK) -> DataFrame:
     """``(key, sample, words)``: documents holding ``least`` or more words in a row of one
     sentence of an item's answer, and how many. NULL and blank texts and answers leak nothing.
 
@@ -327,7 +335,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     rows = items.where(F.col(answer).isNotNull() & (F.trim(answer) != "")).select(F.col(sample).cast("string"), answer)
     n = rows.count()
     if n <= ITEMS:
-        return _block(docs, sorted(tuple(r) for r in rows.collect()), key, text, sample, rare, least, stock).select(key, sample, "words")
+        return _block(docs, sorted(tuple(r) for r in rows.collect()), key, text, sample, least, stock).select(key, sample, "words")
     # stock text must be known over all items: sentences are counted first
     cut = F.udf(lambda t: [" ".join(item_words(t[a:b])[0]) for a, b in Cutter().cut(t)], "array<string>")
     common = rows.select(sample, F.explode(cut(answer)).alias("s")).distinct().groupBy("s").count().where(F.col("count") >= stock).select("s")
@@ -336,6 +344,6 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     out, blocks = None, math.ceil(n / ITEMS)
     for k in range(blocks):
         part = kept.where(F.pmod(F.xxhash64("s"), F.lit(blocks)) == k).select(sample, "raw").collect()
-        found = _block(docs, sorted(tuple(r) for r in part), key, text, sample, rare, least, 1 << 60)
+        found = _block(docs, sorted(tuple(r) for r in part), key, text, sample, least, 1 << 60)
         out = found if out is None else out.union(found)
     return out.groupBy(key, sample).agg(F.max("words").alias("words"))

@@ -58,3 +58,17 @@ def test_leaks(spark):
     finally:
         leaks.ITEMS = old
     assert leaks.leaks(docs.where("false"), items).count() == 0 and leaks.leaks(docs, items.where("false")).count() == 0
+
+
+def test_leaks_hot_and_edited(spark):
+    ten = "Промойте лунку солевым раствором затем приложите холодный компресс слева щеки"
+    # left with two seeds of three words, none, and with words run together
+    copies = [
+        ten.replace("раствором", "растворомм").replace("холодный", "холоднный"),
+        ten.replace("солевым", "солевыым").replace("затем", "затемм").replace("холодный", "холоднный"),
+        ten.replace("лунку солевым", "лункусолевым").replace("затем приложите", "затемприложите").replace("компресс слева", "компрессслева"),
+    ]
+    items = spark.createDataFrame([("q1", ten + ".")], "sample_id string, expected_answer string")
+    n = 120  # the passage stands in a third of all documents
+    docs = spark.createDataFrame([(k, f"Памятка {k}. {copies[k % 9]}. Конец." if k % 9 < 3 else "Пустые слова без цитат.") for k in range(n)], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in leaks.leaks(docs, items).collect()} == {k for k in range(n) if k % 9 < 3}
