@@ -3,11 +3,14 @@
 Band keys of minwise signatures are kept on disk, partitioned by hash, with the
 word sets they stand for. A batch reads the partitions its own keys fall into,
 never the history's texts; candidates are verified exactly, and only accepted
-records' keys are appended.
+records' keys are appended. A manifest beside the tables says which batches are
+complete, so another session may go on where one ended, and a batch that broke
+off is simply added again.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -17,148 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.records import with_tokens, word_map
-from tessella.session import remove, scratch, written
+from tessella.llm.records import tokenized
+from tessella.llm.slots import BANDS, ENTRIES, ROWS, bands_of, between, closed, opened, slot_ids, slotted, verified, within
+from tessella.session import get_text, names, put_text, remove, scratch, tidy, written
 
-#: Two records are near-same from this share of common words: 3/5.
-NUM, DEN = 3, 5
-#: Bands of minwise hashes and hashes a band: at a share of 0.6 one pair in 7,000 shares no band, at 0.65 one in 290,000.
-BANDS, ROWS = 64, 4
-#: Edges of a batch that one task may resolve; with more, rounds of joins do.
+#: Edges of a batch that one task may resolve; with more, rounds of joins do, to the same rows.
 ONE_TASK_EDGES = 200_000
-SETS = "row bigint, words array<int>, nums bigint, digest struct<a:bigint,b:bigint>, map bigint, size int"
-
-
-def band_keys(flat: np.ndarray, starts: np.ndarray, nums: np.ndarray, bands: int, rows: int, seed: int = 1) -> np.ndarray:
-    """``[records, bands]`` 64-bit keys of the non-empty word sets laid end to end in ``flat`` (uint32)."""
-    rng = np.random.default_rng(seed)
-    mul = rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    add = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
-    out = np.empty((len(starts), bands), np.uint64)
-    h = np.empty_like(flat)
-    for b in range(bands):
-        acc = nums.astype(np.uint64) ^ np.uint64((b + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        for r in range(rows):
-            np.multiply(flat, mul[b * rows + r], out=h)
-            h += add[b * rows + r]
-            acc ^= np.minimum.reduceat(h, starts)
-            acc *= np.uint64(0xFF51AFD7ED558CCD)
-            acc ^= acc >> np.uint64(31)
-        out[:, b] = acc
-    return out
-
-
-def with_keys(df: DataFrame, bands: int, rows: int, seed: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(row, keys array<bigint>, *keep)`` of ``df(row, words, nums, *keep)``; the same sets and numbers give the same keys everywhere."""
-    kinds = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = b.column("words")
-            flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
-            starts = np.asarray(words.offsets)[:-1] - np.asarray(words.offsets)[0]
-            keys = band_keys(flat, starts, b.column("nums").to_numpy(), bands, rows, seed).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("row"), lists, *(b.column(c) for c in keep)], ["row", "keys", *keep])
-
-    return df.select("row", "words", "nums", *keep).where(F.size("words") > 0).mapInArrow(run, f"row bigint, keys array<bigint>{kinds}")
-
-
-def near(a: Column, b: Column) -> Column:
-    """Word sets share at least ``NUM/DEN`` of all their words."""
-    common = F.size(F.array_intersect(a, b))
-    return DEN * common >= NUM * (F.size(a) + F.size(b) - common)
-
-
-def may_be_near(ma: Column, na: Column, mb: Column, nb: Column) -> Column:
-    """Necessary for :func:`near`, from word maps and sizes: neither set may have more words
-    that the other surely lacks than a share of ``NUM/DEN`` allows."""
-    total = NUM * (na + nb)
-    lacks = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
-    return ((NUM + DEN) * lacks(ma, mb) <= (NUM + DEN) * na - total) & ((NUM + DEN) * lacks(mb, ma) <= (NUM + DEN) * nb - total)
-
-
-def near_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, row: str = "row", other: str = "other") -> DataFrame:
-    """``pairs(row, other)`` whose sets in ``left`` and ``right`` (row, words, map, size) are near-same.
-    Maps (16 bytes) go first and drop most pairs; only the rest meet their words."""
-    side = lambda df, name, x: df.select(F.col("row").alias(name), F.col("map").alias(f"m{x}"), F.col("size").alias(f"n{x}"))
-    some = pairs.join(side(left, row, "a"), row).join(side(right, other, "b"), other)
-    some = some.where(may_be_near(F.col("ma"), F.col("na"), F.col("mb"), F.col("nb"))).select(*pairs.columns)
-    a, b = left.select(F.col("row").alias(row), F.col("words").alias("wa")), right.select(F.col("row").alias(other), F.col("words").alias("wb"))
-    return some.join(a, row).join(b, other).where(near(F.col("wa"), F.col("wb"))).select(*pairs.columns)
-
-
-def pairs_in_groups(keys: DataFrame, most: int) -> DataFrame:
-    """Pairs of rows under one key, from ``keys(key, row)`` partitioned by key: ``(row, other < row, hot NULL)`` for
-    groups of up to ``most`` rows; larger ones give ``(row, NULL, hot key)``, their rows alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, row = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def out(k: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
-            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            size = np.diff(np.r_[start, len(k)])
-            rows, others = [], []
-            for n in np.unique(size):
-                if 2 <= n <= most:
-                    at = start[size == n]
-                    i, j = np.triu_indices(n, 1)
-                    rows.append((at[:, None] + j).ravel())
-                    others.append((at[:, None] + i).ravel())
-            x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (rows, others))
-            h = np.flatnonzero(np.repeat(size, size) > most)
-            none = np.arange(len(x) + len(h)) >= len(x)
-            other, hot = np.r_[r[y], np.zeros(len(h), np.int64)], np.r_[np.zeros(len(x), np.int64), k[h]]
-            return pa.RecordBatch.from_arrays([pa.array(np.r_[r[x], r[h]]), pa.array(other, mask=none), pa.array(hot, mask=~none)], ["row", "other", "hot"])
-
-        for b in batches:
-            key, row = np.r_[key, b.column("key").to_numpy()], np.r_[row, b.column("row").to_numpy()]
-            if len(key) and key[0] != key[-1]:
-                done = int(np.searchsorted(key, key[-1]))  # the last group may go on
-                yield out(key[:done], row[:done])
-                key, row = key[done:], row[done:]
-        if len(key):
-            yield out(key, row)
-
-    return keys.sortWithinPartitions("key", "row").select("key", "row").mapInArrow(run, "row bigint, other bigint, hot bigint")
-
-
-def sifted_pairs(hot: DataFrame, sets: DataFrame, most: int) -> DataFrame:
-    """Of the rows of ``hot(key, row)``, the pairs under one key that :func:`may_be_near` allows, as ``(row, other < row,
-    hot NULL)``; keys of more than ``most`` rows give ``(row, NULL, hot key)``, their rows alone. Only what passes leaves the task."""
-
-    def passing(row: np.ndarray, m: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for lo in range(0, len(row), 256):
-            i, j = np.arange(lo, min(lo + 256, len(row)))[:, None], np.arange(lo, len(row))[None, :]
-            total = NUM * (n[i] + n[j])
-            ok = (j > i) & ((NUM + DEN) * np.bitwise_count(m[i] & ~m[j]) <= (NUM + DEN) * n[i] - total) & ((NUM + DEN) * np.bitwise_count(m[j] & ~m[i]) <= (NUM + DEN) * n[j] - total)
-            x, y = np.nonzero(ok)
-            yield row[lo + y], row[lo + x]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 4
-
-        def out(key: np.ndarray, row: np.ndarray, m: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            for a, z in zip(start, np.r_[start[1:], len(key)], strict=True):
-                if z - a > most:
-                    none = pa.nulls(z - a, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(row[a:z]), none, pa.array(key[a:z])], ["row", "other", "hot"])
-                    continue
-                for x, y in passing(row[a:z], m[a:z].view(np.uint64), n[a:z]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], ["row", "other", "hot"])
-
-        for b in batches:
-            held = [np.r_[h, b.column(c).to_numpy()] for h, c in zip(held, ("key", "row", "map", "size"), strict=True)]
-            if len(held[0]) and held[0][0] != held[0][-1]:
-                done = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1  # the last group may go on
-                yield from out(*(h[:done] for h in held))
-                held = [h[done:] for h in held]
-        if len(held[0]):
-            yield from out(*held)
-
-    x = hot.join(sets.select("row", "map", F.col("size").cast("bigint").alias("size")), "row").select("key", "row", "map", "size")
-    return x.repartition("key").sortWithinPartitions("key", "row").mapInArrow(run, "row bigint, other bigint, hot bigint")
+#: Rows that are looked up by a list of their numbers; more are joined, to the same rows.
+LISTED = 1_000
+MET = "row bigint, other bigint, own boolean, hot bigint"
 
 
 def _resolve_small(edges: DataFrame) -> DataFrame:
@@ -177,102 +47,160 @@ def _resolve_small(edges: DataFrame) -> DataFrame:
     return edges.repartition(1).mapInPandas(run, "row bigint")
 
 
+def _meetings(most: int, crowd: int):
+    """What one slot's new entries meet: each other, and those of the history."""
+
+    def run(new: pa.Table, old: pa.Table) -> pa.Table:
+        if not new.num_rows:
+            return pa.Table.from_arrays([pa.nulls(0, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64())], ["row", "other", "own", "hot"])
+        mine = opened(new)
+        own, hot = within(mine, most, crowd)
+        past = between(mine, opened(old)) if old.num_rows else np.empty((0, 2), np.int64)
+        slot = new.column("slot")[0].as_py()
+        keys = (mine[0][hot].astype(np.int64) << 24) ^ slot  # names the key among all slots
+        rows = np.r_[own[:, 0], past[:, 0], mine[1][hot]]
+        others = np.r_[own[:, 1], past[:, 1], np.zeros(len(hot), np.int64)]
+        single = np.arange(len(rows)) >= len(own) + len(past)
+        hots = np.r_[np.zeros(len(own) + len(past), np.int64), keys]
+        flag = np.arange(len(rows)) < len(own)
+        return pa.Table.from_arrays([pa.array(rows), pa.array(others, mask=single), pa.array(flag), pa.array(hots, mask=~single)], ["row", "other", "own", "hot"])
+
+    return run
+
+
+def _without(new: pa.Table, gone: pa.Table) -> pa.Table:
+    """One slot's new entries but for those of rows turned away."""
+    if not new.num_rows:
+        return closed(0, opened(new))
+    cols = opened(new)
+    if gone.num_rows:
+        keep = ~np.isin(cols[1], opened(gone)[1])
+        cols = tuple(c[keep] for c in cols)
+    return closed(new.column("slot")[0].as_py(), cols)
+
+
 class History:
-    """What was accepted so far, in tables bucketed by key below the shared folder.
-
-    ``bands`` x ``rows`` set the index: sets with a share s of common words meet
-    with probability 1-(1-s^rows)^bands, which is 0.9998 at 0.6 and over 0.99999
-    from 0.65 with the defaults. Keys live in ``buckets`` hash partitions:
-    a batch's keys are written in the same ones, so probing shuffles neither side
-    and reads matching partitions alone. ``hot`` is the number of rows under one
-    key above which pairs are sifted by their word maps before they are formed;
-    keys of over ``sifted`` rows are settled in rounds against their first
-    undecided row. Each way is exact.
+    """What was accepted so far, in tables below ``path`` (the shared folder if none is given).
+
+    A path that holds a history is opened as it was left: its index settings, its
+    batches and nothing of a batch that broke off. ``bands`` x ``rows`` set the index:
+    sets with a share s of common words meet with probability 1-(1-s^rows)^bands,
+    which is 0.988 at 0.6, 0.998 at 0.65 and 0.9999 at 0.7 with the defaults. Keys
+    lie with their signatures in hash slots, bucketed so that probing shuffles the
+    batch's keys alone; ``buckets`` are set by the first batch's size unless given, and a
+    batch reads the slots that its keys fall into. A key of over ``most`` rows
+    of one batch with more than ``crowd`` likely pairs a row isn't listed by pairs but settled
+    in rounds against its first undecided row. Each way is exact for rows that meet.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, bands: int = BANDS, rows: int = ROWS, buckets: int = 12, hot: int = 100, sifted: int = 5000):
-        self.spark, self.path = spark, path or scratch(spark, "history")
-        self.bands, self.rows, self.buckets, self.hot, self.sifted = bands, rows, buckets, hot, sifted
-        self.batches, self.last = 0, -1
+    def __init__(self, spark: SparkSession, path: str | None = None, bands: int = BANDS, rows: int = ROWS, buckets: int | None = None, most: int = 5_000, crowd: int = 64):
+        self.spark, self.path, self.most, self.crowd = spark, path or scratch(spark, "history"), most, crowd
+        self.meta = {"bands": bands, "rows": rows, "slots": [], "buckets": buckets or 0, "done": []}
+        if known := [n for n in names(spark, f"{self.path}/manifest") if not n.startswith("_")]:
+            self.meta = json.loads(get_text(spark, f"{self.path}/manifest/{known[-1]}"))
         self.name = f"tessella_{uuid.uuid4().hex}"
+        if self.meta["done"]:
+            self._open()
 
-    def _store(self, keys: DataFrame, what: str) -> DataFrame:
-        """Appends ``keys(key, row, band)`` to a table bucketed by key."""
-        w = keys.write.mode("append").format("parquet").bucketBy(self.buckets, "key").option("path", f"{self.path}/{what}")
-        w.saveAsTable(f"{self.name}_{what}")
-        return self.spark.table(f"{self.name}_{what}")
+    @property
+    def batches(self) -> int:
+        return len(self.meta["done"])
 
-    def _sets(self) -> DataFrame:
-        return self.spark.read.schema(f"{SETS}, batch bigint").parquet(f"{self.path}/sets").where("size > 0")
+    def _open(self) -> None:
+        self._make(f"{self.name}_keys", f"{ENTRIES}, attempt INT", "slot", f"{self.path}/keys")
+        self._make(f"{self.name}_sets", "row BIGINT, words BINARY, attempt INT", "row", f"{self.path}/sets")
 
-    def _stage(self, rows: DataFrame, batch: Column) -> None:
-        """Keeps the word sets of ``rows(row, words, nums, digest)`` under their batch."""
-        # rows without words are left out where this is read: a filter here would be pushed below the parsing and repeat it
-        sets = rows.select("row", "words", "nums", "digest", word_map("words").alias("map"), F.size("words").alias("size"), batch.cast("bigint").alias("batch"))
-        sets.write.mode("append").option("compression", "zstd").partitionBy("batch").parquet(f"{self.path}/sets")
+    def _make(self, name: str, columns: str, by: str, path: str) -> None:
+        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (compression 'zstd', 'parquet.block.size' '8388608') CLUSTERED BY ({by}) INTO {self.meta['buckets']} BUCKETS LOCATION '{path}'")
+
+    def _drop(self, name: str, path: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, path)
+
+    def _kept(self, what: str) -> DataFrame:
+        """The stored rows of complete batches."""
+        return self.spark.table(f"{self.name}_{what}").where(F.col("attempt").isin(self.meta["done"])).drop("attempt")
+
+    def _staged(self, rows: DataFrame, path: str, *keep: str) -> DataFrame:
+        """The word sets of ``rows``, written; rows without words are left out."""
+        sets = rows.where("size > 0")
+        w = sets.write.option("compression", "zstd")
+        (w.partitionBy(*keep) if keep else w).parquet(path)
+        return self.spark.read.schema(sets.schema).parquet(path)
 
     def accepted(self) -> DataFrame:
         """``(row)`` of every accepted record that has words."""
         if not self.batches:
             return self.spark.createDataFrame([], "row bigint")
-        return self.spark.table(f"{self.name}_keys").where("band = 0").select("row")
-
-    def turned_away(self) -> DataFrame:
-        """``(row)`` of every row so far that wasn't accepted."""
-        if not self.batches:
-            return self.spark.createDataFrame([], "row bigint")
-        return self._sets().where(F.col("batch") <= self.last).select("row").join(self.accepted(), "row", "left_anti")
+        return self._kept("sets").select("row")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Checks ``batch(row, words, nums, digest)`` and keeps what is new; gives the rows turned away, as ``(row)``.
+        """Checks a batch (as :func:`prepared` gives it) and keeps what is new; gives the rows turned away, as ``(row)``.
 
         A row is turned away when an accepted row of an earlier batch, or one of
         its own batch with a smaller ``row``, is near-same. Rows without words
         are no record: accepted, never matched. Copies inside the batch are
         settled by a minimum a digest, so a group of any size costs one row.
         """
-        number = self.last + 1
-        self._stage(batch, F.lit(number))
-        return self._check(number)
-
-    def _check(self, number: int) -> DataFrame:
-        """Settles the staged batch ``number``, which comes after all before."""
-        sets, self.last = self._sets().where(F.col("batch") == number), number
-        first = sets.groupBy("digest").agg(F.min("row").alias("row")).select("row")
-        keys = with_keys(sets.join(first, "row"), self.bands, self.rows).select("row", F.posexplode("keys").alias("band", "key"))
-        new = self._store(keys.select("key", "row", F.col("band").cast("smallint")), f"new{self.batches}")
-        mine = new.select("key", "row")
-        cand = written(pairs_in_groups(mine, self.hot), "candidates")
-        pairs = cand.where("hot is null").select("row", "other", F.lit(True).alias("own"))
-        hot = cand.where("hot is not null").select(F.col("hot").alias("key"), "row")
-        if not (cold := hot.isEmpty()):
-            more = written(sifted_pairs(hot, sets, self.sifted), "sifted")
-            pairs = pairs.union(more.where("hot is null").select("row", "other", F.lit(True)))
-            hot = more.where("hot is not null").select(F.col("hot").alias("key"), "row")
-            cold = hot.isEmpty()
-        if self.batches:
-            old = self.spark.table(f"{self.name}_keys").select("key", F.col("row").alias("other"))
-            pairs = pairs.union(old.join(mine.hint("shuffle_hash"), "key").select("row", "other", F.lit(False).alias("own")))
+        rows = self._staged(batch, scratch(self.spark, "batch"))
+        self._check(rows)
+        return rows.select("row").join(self.accepted(), "row", "left_anti")
+
+    def _check(self, rows: DataFrame) -> None:
+        """Settles the staged ``rows`` as the next batch and appends what is accepted."""
+        spark, meta = self.spark, self.meta
+        # a copy has the same words and numbers, whichever it is
+        same = [F.any_value(c).alias(c) for c in ("words", "nums", "map", "size")]
+        seen = Observation()
+        reps = rows.groupBy("digest").agg(F.min("row").alias("row"), *same).drop("digest")
+        reps = written(reps.observe(seen, F.count(F.lit(1)).alias("n")), "reps")
+        n = seen.get["n"]
+        if not meta["slots"]:
+            meta["buckets"] = meta["buckets"] or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * meta["bands"] // 2_000_000))
+            meta["slots"] = slot_ids(spark, meta["buckets"])
+            self._open()
+        # the attempt is marked before anything is stored under its number, so none is used twice
+        attempt = len(names(spark, f"{self.path}/started"))
+        put_text(spark, f"{self.path}/started/{attempt:09d}", "")
+        keys = lambda df: slotted(df, bands_of(meta["bands"], meta["rows"]), ("words", "nums"), meta["slots"]).repartition(meta["buckets"], "slot")
+        fresh, at = f"{self.name}_new{attempt}", scratch(spark, "new")
+        self._make(fresh, ENTRIES, "slot", at)
+        keys(reps).write.insertInto(fresh)
+        new, old = spark.table(fresh), self._kept("keys")
+        if n * meta["bands"] < 4 * len(meta["slots"]):  # few keys: name the slots they touch
+            old = old.where(F.col("slot").isin([r[0] for r in new.select("slot").distinct().collect()]))
+        past = Observation()
+        met = new.groupBy("slot").cogroup(old.groupBy("slot")).applyInArrow(_meetings(self.most, self.crowd), MET)
+        met = written(met.observe(past, F.count(F.when(~F.col("own") & F.col("hot").isNull(), 1)).alias("old"), F.count("hot").alias("hot")), "met")
+        own, before = (met.where(f"hot is null and {x}").select("row", "other").distinct() for x in ("own", "not own"))
+        sets = self._kept("sets")
+        if past.get["old"] <= LISTED:
+            sets = sets.where(F.col("row").isin([r[0] for r in before.select("other").distinct().collect()]))
+        edges = verified(own, reps, reps).withColumn("own", F.lit(True))
+        edges = edges.union(verified(before.hint("shuffle_hash"), reps, sets).withColumn("own", F.lit(False)))
         found = Observation()
-        edges = near_pairs(pairs.distinct(), sets, self._sets().where(F.col("batch") <= number))
         edges = written(edges.observe(found, F.count(F.lit(1)).alias("n")), "near")
-        few = found.get["n"] <= ONE_TASK_EDGES
-        if few and cold:
+        if found.get["n"] <= ONE_TASK_EDGES and not past.get["hot"]:
             out = _resolve_small(edges)
         else:
             known = written(edges.where("not own").select("row").distinct(), "known")
             own = edges.where("own").join(known, "row", "left_anti").join(known.select(F.col("row").alias("other")), "other", "left_anti")
-            out = known.union(self._resolve(own.select("row", "other"), written(hot.join(known, "row", "left_anti"), "hot"), sets))
-        # no more rows than edges, or than the batch beyond that
-        self._store(new.join(F.broadcast(out) if few else out, "row", "left_anti").select("key", "row", "band"), "keys")
-        self.spark.sql(f"DROP TABLE {self.name}_new{self.batches}")
-        remove(self.spark, f"{self.path}/new{self.batches}")
-        self.batches += 1
-        return sets.select("row").join(self.accepted(), "row", "left_anti")
+            hot = met.where("hot is not null").select(F.col("hot").alias("key"), "row").join(known, "row", "left_anti")
+            out = known.union(self._resolve(own.select("row", "other"), written(hot, "hot"), reps))
+        out = written(out, "out")
+        kept = new.groupBy("slot").cogroup(keys(reps.join(out, "row", "left_semi")).groupBy("slot")).applyInArrow(_without, ENTRIES)
+        kept.withColumn("attempt", F.lit(attempt)).write.insertInto(f"{self.name}_keys")
+        fresh_sets = reps.join(out, "row", "left_anti").select("row", "words", F.lit(attempt).alias("attempt"))
+        fresh_sets.repartition(meta["buckets"], "row").write.insertInto(f"{self.name}_sets")
+        meta["done"].append(attempt)
+        put_text(spark, f"{self.path}/manifest/{attempt:09d}", json.dumps(meta))
+        self._drop(fresh, at)
+        tidy(spark)
 
     def _resolve(self, edges: DataFrame, hot: DataFrame | None, reps: DataFrame) -> DataFrame:
         """Rejected rows in rounds: a row with no undecided row before it, neither
-        along an edge nor in one of its hot keys, is accepted; its neighbours go."""
+        along an edge nor in one of its hot keys, is accepted; its neighbours go.
+        There are as many rounds as the longest chain of rows each undecided before the next."""
         out, k = None, 0
         while True:
             blocked = edges.select("row")
@@ -287,7 +215,7 @@ class History:
             if hot is not None:
                 star = led.where("row <> lead").select("row", F.col("lead").alias("other")).distinct()
                 star = star.join(free.select(F.col("row").alias("other")), "other", "left_semi")
-                gone = gone.union(near_pairs(star.select("row", "other"), reps, reps).select("row"))
+                gone = gone.union(verified(star.select("row", "other"), reps, reps).select("row"))
             gone = written(gone.distinct(), f"gone{k}")
             out = gone if out is None else out.union(gone)
             done = gone.union(free)
@@ -303,9 +231,8 @@ class History:
 
 
 def prepared(df: DataFrame, key: str = "row_no", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(row, words, nums, digest, *keep)`` of messages."""
-    t = with_tokens(df.select(F.col(key).alias("row"), F.col(text).alias("_text"), *keep), "_text")
-    return t.select("row", F.array_sort(F.array_distinct("toks")).alias("words"), "nums", "digest", *keep)
+    """``(row, *keep, words, nums, digest, map, size)`` of messages."""
+    return tokenized(df.select(F.col(key).alias("row"), F.col(text).alias("_text"), *keep), "_text")
 
 
 def turned_away(df: DataFrame, key: str = "row_no", text: str = "text", batch: str = "batch_no", **index) -> DataFrame:
@@ -314,10 +241,9 @@ def turned_away(df: DataFrame, key: str = "row_no", text: str = "text", batch: s
     NULL batch numbers come last, as one batch. Each batch's own rows are
     prepared once; the number of batches, not of rows, is what the driver loops over.
     """
-    spark = df.sparkSession
-    history = History(spark, **index)
-    rows = prepared(df.select(key, text, F.coalesce(F.col(batch).cast("bigint"), F.lit(1 << 62)).alias("_b")), key, text, ("_b",))
-    history._stage(rows, F.col("_b"))
-    for (b,) in df.select(F.coalesce(F.col(batch).cast("bigint"), F.lit(1 << 62)).alias("_b")).distinct().orderBy("_b").collect():
-        history._check(b)
-    return history.turned_away().select(F.col("row").alias(key))
+    history = History(df.sparkSession, **index)
+    number: Column = F.coalesce(F.col(batch).cast("bigint"), F.lit(1 << 62)).alias("_b")
+    rows = history._staged(prepared(df.select(key, text, number), key, text, ("_b",)), scratch(df.sparkSession, "messages"), "_b")
+    for (b,) in df.select(number).distinct().orderBy("_b").collect():
+        history._check(rows.where(F.col("_b") == b))
+    return rows.select("row").join(history.accepted(), "row", "left_anti").select(F.col("row").alias(key))

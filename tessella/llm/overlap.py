@@ -2,37 +2,33 @@
 
 Winnowing over word grams: rolling hashes, the minimum of each window is kept as
 a fingerprint, fingerprints are joined across the splits, the common grams of a
-pair are chained in order and the chain is extended by alignment. Short grams
-that the training side holds often (set phrases) give way to longer ones at the
-same place, so a phrase shared by a third of all rows joins nothing by itself.
-Pairs that this leaves apart (all they share is frequent, edited or in another
-order) meet in bands of minwise hashes, which know neither counts nor places.
+pair are chained in order and the chain is extended by alignment. A fingerprint
+so common that its meetings outgrow its records (a set phrase, a greeting on a third
+of all rows) is passed over: what it alone would join meets in bands of minwise
+hashes, which know neither counts nor places, and find pairs of another order too.
 """
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.history import BANDS, ROWS, may_be_near, near_pairs, with_keys
-from tessella.llm.records import with_tokens, word_map
-from tessella.session import remove, scratch, written
+from tessella.llm.records import tokenized, unpacked
+from tessella.llm.slots import bands_of, met, slot_ids, slotted, verified
+from tessella.session import tidy, written
 
-SHORT, LONG, WINDOW = 3, 8, 3
-#: A short gram on more training records than this is a set phrase.
-OFTEN = 16
-#: Set phrases that are listed (8 bytes each), the most frequent ones; any beyond count as ordinary grams, which costs time, not rows.
-LISTED = 2_000_000
-#: Bands that are joined at a time; their tables are dropped before the next ones are written.
+SHORT, WINDOW = 3, 3
+#: Bands of minwise hashes and hashes a band: at a share of 0.6 of common words one pair in 7,000 shares no band, at 0.65 one in 290,000.
+BANDS, ROWS = 64, 4
+#: Bands that are joined at a time: their keys are moved and dropped before the next ones are.
 AT_ONCE = 16
-#: Rows of a filter that may be broadcast.
-SENT = 2_000_000
+#: Meetings an entry that a fingerprint may cause: a limit to work, not to rows, see :func:`tessella.llm.slots.between`.
+CROWD = 64
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,89 +48,40 @@ def rolling(flat: np.ndarray, k: int) -> np.ndarray:
     return _mix(out)
 
 
-def _flat(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words end to end (uint32), starts, lengths."""
-    off = np.asarray(words.offsets)
-    return words.flatten().to_numpy(zero_copy_only=False).view(np.uint32), off[:-1] - off[0], np.diff(off)
+def winnowed(window: int = WINDOW) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]:
+    """Fingerprints of batches of ``(toks, nums)``, as ``(record, key)``.
 
-
-def _left(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Words from each place to the end of its record."""
-    return np.repeat(starts + lens, lens) - np.arange(int(lens.sum()))
-
-
-def phrase_counts(records: DataFrame) -> DataFrame:
-    """``(gram, n)`` of the short grams of ``records(toks)``; grams are added up inside each task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def out() -> pa.RecordBatch:
-            g, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["gram", "n"])
-
-        for b in batches:
-            flat, starts, lens = _flat(b.column("toks"))
-            held.append(rolling(flat, SHORT)[_left(starts, lens) >= SHORT])
-            if sum(map(len, held)) > 4_000_000:
-                yield out()
-        if held:
-            yield out()
-
-    return records.select("toks").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def fingerprints(records: DataFrame, phrases: np.ndarray, window: int = WINDOW) -> DataFrame:
-    """``(row, key)``: the winnowed fingerprints of ``records(row, toks, nums)``.
-
-    ``phrases`` (sorted uint64) are the listed set phrases. A place whose short
-    gram is none of them bears that gram; other places bear the long gram, or
-    what is left of the text if that is less, and in records of under
-    ``LONG + SHORT`` words the short gram all the same. Of each ``window`` places one
-    is kept: a short gram before a long one, the smaller hash first. The key
-    holds the hash of the numbers, which must be the same in both records.
+    Of each ``window`` grams in a row the one of the smallest hash is kept; a record of
+    one or two words is its own gram. The key holds the hash of the numbers, which must
+    be the same in both records.
     """
-    held = records.sparkSession.sparkContext.broadcast(phrases)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = held.value
-        for b in batches:
-            flat, starts, lens = _flat(b.column("toks"))
-            left = _left(starts, lens)
-            rec = np.repeat(np.arange(len(lens)), lens)
-            short = rolling(flat, SHORT)
-            at = np.searchsorted(often, short) if len(often) else np.zeros(len(short), np.int64)
-            phrase = often[np.minimum(at, len(often) - 1)] == short if len(often) else np.zeros(len(short), bool)
-            size = np.minimum(lens[rec], SHORT)  # records of one or two words are their own gram
-            phrase &= lens[rec] >= LONG + SHORT
-            h = np.where(phrase, rolling(flat, LONG), short)
-            tiny = lens[rec] < SHORT
-            if tiny.any():
-                first = starts[rec[tiny]]
-                h[tiny] = _mix(flat[first].astype(np.uint64) * _B + flat[first + lens[rec[tiny]] - 1])
-            valid = np.where(phrase, left >= LONG, left >= size)
-            # place by rank: short grams first, then by hash
-            rank = np.where(valid, (h >> np.uint64(2)) | (phrase.astype(np.uint64) << np.uint64(62)), np.uint64((1 << 64) - 1))
-            best = np.zeros(len(h), bool)
-            for shift in range(window):  # a place is kept if it is the least of some window that holds it
-                least = np.ones(len(h), bool)
-                for d in range(-shift, window - shift):
-                    if d:
-                        j = np.arange(len(h)) + d
-                        ok = (j >= 0) & (j < len(h))
-                        jj = np.clip(j, 0, len(h) - 1)
-                        ok &= rec[jj] == rec
-                        least &= ~ok | (rank <= rank[jj])
-                best |= least
-            keep = best & valid
-            nums = b.column("nums").to_numpy().view(np.uint64)
-            key = _mix(h[keep] ^ (nums[rec[keep]] * np.uint64(0xC2B2AE3D27D4EB4F)))
-            rows = b.column("row").to_numpy()[rec[keep]]
-            pair = np.unique(np.stack([rows, key.view(np.int64)], 1), axis=0) if keep.any() else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["row", "key"])
 
-    return records.select("row", "toks", "nums").mapInArrow(run, "row bigint, key bigint")
+    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        flat, starts, lens = unpacked(b.column("toks"))
+        rec = np.repeat(np.arange(len(lens)), lens)
+        left = np.repeat(starts + lens, lens) - np.arange(len(flat))
+        h = rolling(flat, SHORT)
+        tiny = lens[rec] < SHORT
+        if tiny.any():
+            first = starts[rec[tiny]]
+            h[tiny] = _mix(flat[first].astype(np.uint64) * _B + flat[first + lens[rec[tiny]] - 1])
+        valid = left >= np.minimum(lens[rec], SHORT)
+        rank = np.where(valid, h >> np.uint64(1), np.uint64((1 << 64) - 1))
+        best = np.zeros(len(h), bool)
+        for shift in range(window):  # a place is kept if it is the least of some window that holds it
+            least = np.ones(len(h), bool)
+            for d in range(-shift, window - shift):
+                if d:
+                    j = np.arange(len(h)) + d
+                    jj = np.clip(j, 0, max(0, len(h) - 1))
+                    ok = (j >= 0) & (j < len(h)) & (rec[jj] == rec)
+                    least &= ~ok | (rank <= rank[jj])
+            best |= least
+        keep = np.flatnonzero(best & valid)
+        nums = b.column("nums").to_numpy().view(np.uint64)
+        return rec[keep], _mix(h[keep] ^ (nums[rec[keep]] * np.uint64(0xC2B2AE3D27D4EB4F)))
+
+    return keys
 
 
 def _edges(a: list[int], b: list[int]) -> int:
@@ -188,44 +135,19 @@ def aligned(a: list[int], b: list[int], k: int = SHORT) -> tuple[int, int]:
 def _extended(pairs: DataFrame) -> DataFrame:
     """``pairs(erep, trep, te, tt)`` with the length of their chain and the words aligned."""
 
+    def lists(col: pa.Array) -> list[list[int]]:
+        flat, starts, lens = unpacked(col)
+        return [flat[a : a + n].tolist() for a, n in zip(starts, lens, strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [aligned(x, y) for x, y in zip(b.column("te").to_pylist(), b.column("tt").to_pylist(), strict=True)]
+            got = [aligned(x, y) for x, y in zip(lists(b.column("te")), lists(b.column("tt")), strict=True)]
             cols = [b.column("erep"), b.column("trep"), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, ["erep", "trep", "chain", "words"])
 
     return pairs.select("erep", "trep", "te", "tt").mapInArrow(run, "erep bigint, trep bigint, chain int, words int")
 
 
-def _written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def banded(e: DataFrame, t: DataFrame) -> DataFrame:
-    """``(erep, trep)`` of the rows of ``e`` and ``t`` (row, toks, nums, map, size) that meet in one of ``BANDS`` bands of
-    ``ROWS`` minwise hashes and whose word maps allow them to be near-same. Keys lie in tables bucketed by key, so no join shuffles them."""
-    spark, out = e.sparkSession, None
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for k in range(-(-BANDS // AT_ONCE)):
-        sides, paths, names = [], [], []
-        for df, row, x in ((e, "erep", "e"), (t, "trep", "t")):
-            keys = with_keys(df.withColumn("words", F.col("toks")), min(AT_ONCE, BANDS - k * AT_ONCE), ROWS, k + 1, ("map", "size"))
-            paths.append(scratch(spark, "bands"))
-            names.append(f"tessella_{uuid.uuid4().hex}")
-            keys = keys.select(F.explode("keys").alias("key"), F.col("row").alias(row), F.col("map").alias(f"m{x}"), F.col("size").alias(f"n{x}"))
-            keys.write.format("parquet").bucketBy(buckets, "key").option("path", paths[-1]).saveAsTable(names[-1])
-            sides.append(spark.table(names[-1]))
-        met = sides[0].join(sides[1].hint("shuffle_hash"), "key").where(may_be_near(F.col("me"), F.col("ne"), F.col("mt"), F.col("nt"))).select("erep", "trep")
-        met = written(met, "met")
-        out = met if out is None else out.union(met)
-        for name, path in zip(names, paths, strict=True):
-            spark.sql(f"DROP TABLE {name}")
-            remove(spark, path)
-    return out
-
-
 class Overlap:
     """Overlaps of evaluation records with training records.
 
@@ -238,38 +160,32 @@ class Overlap:
         self.key, self.extra = key, extra
         pick = lambda df, keep, s: df.select(F.col(key).alias("row"), F.col(text).alias("_text"), F.lit(s).alias("side"), *keep)
         none = [F.lit(None).cast(evals.schema[c].dataType).alias(c) for c in extra]
-        both = with_tokens(pick(train, none, 0).unionByName(pick(evals, extra, 1)), "_text").select("row", "side", "toks", "nums", "digest", *extra)
-        both, path = _written_at(both, "messages")
-        self.members = written(both.select("row", "side", "digest", F.size("toks").alias("size"), *extra), "members")
-        # one text stands for its copies; which one is a partial minimum a digest
-        first = both.where(F.size("toks") > 0).groupBy("side", "digest").agg(F.min("row").alias("row"))
-        self.reps = written(first.select("side", "digest", F.col("row").alias("rep")), "reps")
-        reps = self.reps.select(F.col("rep").alias("row"))
-        # the words stay where they are if the rows to keep are few enough to send (8 bytes each)
-        body = both.join(F.broadcast(reps) if reps.count() <= SENT else reps, "row", "left_semi")
-        uniq = F.array_distinct("toks")
-        body = body.select("row", "side", "toks", "nums", uniq.alias("words"), F.size(uniq).alias("size"))
-        self.body = written(body.withColumn("map", word_map("words")).drop("words"), "bodies")
-        remove(train.sparkSession, path)
+        both = tokenized(pick(train, none, 0).unionByName(pick(evals, extra, 1)), "_text", ordered=True)
+        self.members = written(both, "messages")
+        # one text stands for its copies, the first row of them
+        body = F.min_by(F.struct("words", "nums", "map", "size", "toks"), "row").alias("b")
+        reps = self.members.where("size > 0").groupBy("side", "digest").agg(F.min("row").alias("row"), body)
+        self.body = written(reps.select("side", "digest", "row", "b.*"), "bodies")
 
     def pairs(self) -> DataFrame:
         """``(erep, trep, chain, words)``: pairs of distinct records, each stood for by its first row; exact copies have one pair."""
+        spark = self.body.sparkSession
         t, e = self.body.where("side = 0"), self.body.where("side = 1")
-        often = phrase_counts(t).where(F.col("n") > OFTEN).orderBy(F.desc("n"), "gram").limit(LISTED).select("gram")
-        phrases = np.sort(often.toPandas()["gram"].to_numpy(dtype=np.int64).view(np.uint64))
-        ft, fe = fingerprints(t, phrases).withColumnRenamed("row", "trep"), fingerprints(e, phrases).withColumnRenamed("row", "erep")
-        found = fe.join(ft, "key").select("erep", "trep")
-        tr, er = self.reps.where("side = 0"), self.reps.where("side = 1")
-        same = er.select("digest", F.col("rep").alias("erep")).join(tr.select("digest", F.col("rep").alias("trep")), "digest").select("erep", "trep")
-        found = found.union(same).union(banded(e, t)).distinct()
-        sets = lambda x: x.withColumn("words", F.array_distinct("toks"))
-        found = written(near_pairs(found, sets(e), sets(t), "erep", "trep"), "near")
+        slots = slot_ids(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        found = e.select("digest", F.col("row").alias("erep")).join(t.select("digest", F.col("row").alias("trep")), "digest").select("erep", "trep")
+        rounds = [(winnowed(), ("toks", "nums"), CROWD)]
+        rounds += [(bands_of(min(AT_ONCE, BANDS - k), ROWS, k + 1), ("words", "nums"), None) for k in range(0, BANDS, AT_ONCE)]
+        for keys, needs, crowd in rounds:
+            found = found.union(written(met(slotted(e, keys, needs, slots), slotted(t, keys, needs, slots), crowd), "met"))
+            tidy(spark)
+        found = written(verified(found.distinct(), e, t, "erep", "trep"), "near")
         found = found.join(e.select(F.col("row").alias("erep"), F.col("toks").alias("te")), "erep").join(t.select(F.col("row").alias("trep"), F.col("toks").alias("tt")), "trep")
         return written(_extended(found), "pairs")
 
     def rows(self) -> DataFrame:
         """``(train, eval)`` keys of every overlapping pair of rows."""
-        m = self.members.select("row", "side", "digest").join(self.reps, ["side", "digest"])
+        rep = self.body.select("side", "digest", F.col("row").alias("rep"))
+        m = self.members.where("size > 0").select("row", "side", "digest").join(rep, ["side", "digest"])
         em = m.where("side = 1").select(F.col("row").alias("erow"), F.col("rep").alias("erep"))
         tm = m.where("side = 0").select(F.col("row").alias("trow"), F.col("rep").alias("trep"))
         return self.pairs().select("erep", "trep").join(em, "erep").join(tm, "trep").select(F.col("trow").alias(f"train_{self.key}"), F.col("erow").alias(f"eval_{self.key}"))
@@ -278,12 +194,13 @@ class Overlap:
         """Per group of evaluation rows: rows, rows that overlap, their number of
         links to different training records, and the mean share of their words that the best one covers."""
         best = self.pairs().groupBy("erep").agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("links"))
-        hit = self.reps.where("side = 1").join(best, F.col("rep") == F.col("erep")).select("digest", "words", "links")
-        rows = self.members.where("side = 1").select("row", "digest", F.col("size"), *by).join(hit, "digest", "left")
-        cover = F.least(F.col("words") / F.col("size"), F.lit(1.0))
+        hit = self.body.where("side = 1").select("digest", F.col("row").alias("erep")).join(best, "erep").select("digest", F.col("words").alias("_words"), "links")
+        size = (F.octet_length("toks") / 4).alias("_size")
+        rows = self.members.where("side = 1").select("row", "digest", size, *by).join(hit, "digest", "left")
+        cover = F.least(F.col("_words") / F.col("_size"), F.lit(1.0))
         return rows.groupBy(*by).agg(
             F.count(F.lit(1)).alias("rows"),
-            F.count("words").alias("overlapping"),
+            F.count("_words").alias("overlapping"),
             F.coalesce(F.sum("links"), F.lit(0)).alias("links"),
             F.round(F.coalesce(F.avg(cover), F.lit(0.0)), 6).alias("mean_coverage"),
         )

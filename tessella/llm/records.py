@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +18,8 @@ INVISIBLE = "\u00AD\u034F\u061C\u115F\u1160\u17B4\u17B5\u180E\uFEFF" + "".join(
 )
 #: Blanks of other widths.
 SPACES = "\t\u00A0\u1680\u202F\u205F\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+#: What :func:`tokenized` adds.
+TOKENS = ("words", "nums", "digest", "map", "size")
 #: A named field: a short name of letters, then its sign.
 FIELD = r"^\s*\p{L}[\p{L}\p{M}\p{N} _\-]{0,40}?\s*[:=]"
 #: What stands between the fields of a written form.
@@ -65,20 +74,71 @@ def with_canonical(df: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("_clean", "_fields")
 
 
-def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``toks`` (32-bit hashes of the words, in order), ``nums`` (hash of
-    the set of numbers written in digits) and ``digest`` (two longs that stand
-    for word set and numbers: rows with equal digests are copies). NULL and
-    wordless texts get an empty ``toks``; they are no record and match nothing."""
-    canon = F.col("canon")
-    toks = F.when(canon == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(canon, " "), lambda w: F.hash(w)))
-    nums = F.when(canon.rlike(r"\p{Nd}"), F.array_sort(F.array_distinct(F.regexp_extract_all(canon, F.lit(r"(\p{Nd}+)")))))
-    df = with_canonical(df, text).withColumn("toks", toks).withColumn("nums", F.xxhash64(nums)).drop("canon")
-    df = df.withColumn("_uniq", F.array_sort(F.array_distinct("toks")))
-    digest = F.struct(F.xxhash64("_uniq", "nums").alias("a"), F.xxhash64(F.lit(7), "_uniq", "nums").alias("b"))
-    return df.withColumn("digest", digest).drop("_uniq")
+class _Words(dict):
+    """32-bit hashes of words; the same everywhere and for good, as they are stored."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[w] = h = zlib.crc32(w.encode())
+        return h
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
 
+def _binary(flat: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """Runs of ``flat`` (uint32), laid end to end, as binary values."""
+    off = np.r_[0, np.cumsum(lens * 4)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
 
-def word_map(words: str) -> Column:
-    """64 bits that the words of a set fall on: what is set in one and not in the other is a difference for sure."""
-    return F.expr(f"aggregate({words}, 0L, (m, w) -> m | shiftleft(1L, w & 63))")
+
+def unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words end to end (uint32), starts, lengths of packed words."""
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    data = col.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(np.uint32) if len(col) and data else np.empty(0, np.uint32)
+    return flat, (off[:-1] - off[0]) // 4, np.diff(off) // 4
+
+
+def tokenized(df: DataFrame, text: str = "text", ordered: bool = False) -> DataFrame:
+    """``df`` without ``text`` and with the words of its records.
+
+    ``words`` are the 32-bit hashes of the different words, sorted and packed;
+    ``nums`` is a hash of the set of numbers written in digits, ``digest`` stands for
+    word set and numbers (rows with equal digests are copies), ``map`` is 64 bits that
+    the words fall on and ``size`` their number. ``ordered`` adds ``toks``, all words in their order, packed.
+    NULL and wordless texts have no words; they are no record and match nothing.
+    """
+    keep = [c for c in df.columns if c != text]
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep)
+    number = re.compile(r"\d+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Words()
+        for b in batches:
+            texts = b.column("canon").to_pylist()
+            split = [t.split() for t in texts]
+            lens = np.array([len(w) for w in split], np.int64)
+            flat = _mixed(np.fromiter((held[w] for t in split for w in t), np.uint32, int(lens.sum())))
+            rec = np.repeat(np.arange(len(lens), dtype=np.uint64), lens)
+            uniq = np.unique((rec << np.uint64(32)) | flat.astype(np.uint64))
+            size = np.bincount((uniq >> np.uint64(32)).astype(np.int64), minlength=len(lens))
+            words = (uniq & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            some = np.flatnonzero(size)
+            maps = np.zeros(len(lens), np.uint64)
+            if len(some):
+                maps[some] = np.bitwise_or.reduceat(np.uint64(1) << (words & np.uint32(63)).astype(np.uint64), (np.cumsum(size) - size)[some])
+            packed = _binary(words, size)
+            nums = [" ".join(sorted(set(number.findall(t)))) for t in texts]
+            nums = [int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) if x else 0 for x in nums]
+            digest = [blake2b(w, digest_size=16, salt=n.to_bytes(8, "little", signed=True)).digest() for w, n in zip(packed.to_pylist(), nums, strict=True)]
+            cols = [packed, pa.array(nums, pa.int64()), pa.array(digest, pa.binary()), pa.array(maps.view(np.int64)), pa.array(size.astype(np.int32))]
+            cols += [_binary(flat, lens)] if ordered else []
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], [*keep, *TOKENS, *(["toks"] if ordered else [])])
+
+    kinds += "words binary, nums bigint, digest binary, map bigint, size int" + (", toks binary" if ordered else "")
+    return with_canonical(df, text).select(*keep, "canon").mapInArrow(run, kinds)

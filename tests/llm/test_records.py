@@ -8,7 +8,8 @@ import pyspark.sql.functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm import formatting, groups, history, overlap, packing, quota
+from tessella import session
+from tessella.llm import formatting, groups, history, overlap, packing, quota, slots
 
 FREE = "Добрый день, у мамы болит зуб 15, принимала Ставомедон, врач Лепежайкин, хочу прийти в среду после обеда на Лунной улице рядом с парком"
 FORM = "врач: Лепежайкин; срок: третий день; жалоба: ноет"
@@ -40,7 +41,7 @@ def edited(text, n, rng):
 
 def words_of(spark, texts):
     rows = history.prepared(frame(spark, texts)).orderBy("row").collect()
-    return [(set(r["words"]), r["nums"]) for r in rows]
+    return [(set(np.frombuffer(r["words"], np.uint32).tolist()), r["nums"]) for r in rows]
 
 
 def near(a, b):
@@ -68,7 +69,15 @@ def test_history_is_greedy_in_order(spark):
         else:
             kept.append(k)
     assert gone and {r[0] for r in history.turned_away(df).collect()} == gone
-    assert {r[0] for r in history.turned_away(df, hot=2).collect()} == gone  # settled in rounds
+    assert {r[0] for r in history.turned_away(df, most=2, crowd=0, buckets=3).collect()} == gone  # hot keys settled in rounds
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # files are cut anywhere: no key may be parted
+    old, history.ONE_TASK_EDGES, history.LISTED = (history.ONE_TASK_EDGES, history.LISTED), -1, -1
+    try:
+        assert {r[0] for r in history.turned_away(df, buckets=2).collect()} == gone  # all edges in rounds
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+        history.ONE_TASK_EDGES, history.LISTED = old
     assert history.turned_away(df.where("false")).count() == 0
 
 
@@ -85,23 +94,30 @@ def test_history_at_the_limit(spark):
     a, b = at_the_limit(8, 300)
     assert all(near(x, y) for x, y in zip(words_of(spark, a), words_of(spark, b), strict=True))
     df = frame(spark, a + b).withColumn("batch_no", (F.col("row_no") > len(a)).cast("int"))
-    assert {r[0] for r in history.turned_away(df).collect()} == set(range(len(a) + 1, 2 * len(a) + 1))
+    want = set(range(len(a) + 1, 2 * len(a) + 1))
+    assert {r[0] for r in history.turned_away(df, bands=64).collect()} == want
+    got = {r[0] for r in history.turned_away(df).collect()}  # 32 bands promise 0.994 at 23 words of 37
+    assert got <= want and len(got) >= 0.98 * len(want)
 
 
-def test_history_of_hot_keys(spark):
-    texts = near_texts(3)
-    df = frame(spark, texts).withColumn("batch_no", (F.col("row_no") % 3).cast("int"))
-    want = {r[0] for r in history.turned_away(df).collect()}
-    assert {r[0] for r in history.turned_away(df, hot=2, sifted=2).collect()} == want  # settled in rounds
-    keys = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (2, 3)], "key bigint, row bigint")
-    sets = spark.createDataFrame([(1, 0b1111, 4), (2, 0b1110, 3), (3, 0b110000, 2)], "row bigint, map bigint, size int")
-    got = lambda most: {tuple(r) for r in history.sifted_pairs(keys, sets, most).collect()}
-    assert got(9) == {(2, 1, None)} and got(2) == {(k, None, 1) for k in (1, 2, 3)}
+def test_slots():
+    def packed(rows):
+        cols = [np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.uint32, np.int64, np.uint64, np.int32), strict=True)]
+        return slots.opened(slots.closed(4, tuple(cols)))
+
+    mine = packed([(1, 1, 0b1111, 4), (1, 2, 0b1110, 3), (1, 3, 0b110000, 2), (2, 1, 0b1111, 4), (2, 2, 0b1110, 3)])
+    pairs, hot = slots.within(mine, 9, 9)
+    assert pairs.tolist() == [[2, 1]] and not len(hot)
+    pairs, hot = slots.within(mine, 2, 0)
+    assert pairs.tolist() == [[2, 1]] and mine[1][hot].tolist() == [1, 2, 3]
+    other = packed([(1, 9, 0b1111, 4), (3, 8, 0b1111, 4)])
+    assert slots.between(mine, other).tolist() == [[1, 9], [2, 9]] and not len(slots.between(mine, other, crowd=0))
+    assert slots.closed(1, packed([(1, 1, 1, 1)])).num_rows == 1 and slots.closed(1, tuple(c[:0] for c in mine)).num_rows == 0
 
 
 def test_history_by_batches(spark):
     h = history.History(spark)
-    assert h.turned_away().count() == 0
+    assert h.accepted().count() == 0
     first = h.add(history.prepared(frame(spark, [FREE, FREE.lower(), FORM, None])))
     assert {r[0] for r in first.collect()} == {2}
     later = frame(spark, [FORM.upper(), "совсем другое сообщение"]).withColumn("row_no", F.col("row_no") + 10)
@@ -109,6 +125,44 @@ def test_history_by_batches(spark):
     assert {r[0] for r in h.accepted().collect()} == {1, 3, 12}
 
 
+def test_history_is_opened_again(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/history"
+    texts = [f"первое {w} второе {w}а третье {w}б четвёртое {w}в" for w in ("лес", "мост", "снег", "гора", "поле", "река")]
+    count = itertools.count(0, 10)
+    batch = lambda rows: history.prepared(frame(spark, [texts[k].upper() for k in rows]).withColumn("row_no", F.col("row_no") + next(count)))
+    h = history.History(spark, path, buckets=3)
+    assert h.add(batch([0, 1])).count() == 0 and h.add(batch([2])).count() == 0
+    # a batch that breaks off after its keys are stored leaves nothing behind
+    monkeypatch.setattr(history, "put_text", lambda *a: (_ for _ in ()).throw(OSError()) if "manifest" in a[1] else session.put_text(*a))
+    try:
+        h.add(batch([3]))
+        raise AssertionError
+    except OSError:
+        monkeypatch.undo()
+    for old, s in ((2, spark.newSession()), (4, spark)):
+        again = history.History(s, path, bands=1)
+        assert again.batches == old and again.meta["bands"] == history.BANDS
+        assert again.add(batch([0, 1, 2, 2])).count() == 4  # copies from every earlier batch are turned away
+        assert again.add(batch([3, 4, 5])).count() == (0 if old == 2 else 3)
+
+
+def test_history_reads_touched_buckets_alone(spark, tmp_path):
+    texts = near_texts(5, n=40)
+    h = history.History(spark, f"file://{tmp_path}/history", buckets=400)
+    h.add(history.prepared(frame(spark, texts)))
+    probe = history.prepared(frame(spark, [texts[0]]).withColumn("row_no", F.lit(1000).cast("bigint")))
+    keys = slots.slotted(probe, slots.bands_of(slots.BANDS, slots.ROWS), ("words", "nums"), h.meta["slots"])
+    need = {f"_{r[0]:05d}." for r in keys.select(F.pmod(F.hash("slot"), F.lit(400))).distinct().collect()}
+    gone = 0
+    for f in (tmp_path / "history/keys").glob("part-*"):
+        if not any(n in f.name for n in need):
+            f.write_bytes(b"unreadable")
+            gone += 1
+    assert gone > 300
+    again = history.History(spark, f"file://{tmp_path}/history")
+    assert again.add(probe).count() == 1
+
+
 def test_overlap(spark):
     texts = near_texts(5)
     sets = words_of(spark, texts)
