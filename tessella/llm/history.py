@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.records import tokenized
-from tessella.llm.slots import BANDS, ENTRIES, ROWS, bands_of, between, closed, opened, slot_ids, slotted, verified, within
+from tessella.llm.slots import BANDS, ENTRIES, ROWS, bands_of, between, chunks, closed, opened, slot_ids, slotted, verified, within
 from tessella.session import get_text, names, put_text, remove, scratch, tidy, written
 
 #: Edges of a batch that one task may resolve; with more, rounds of joins do, to the same rows.
@@ -55,7 +55,8 @@ def _meetings(most: int, crowd: int):
             return pa.Table.from_arrays([pa.nulls(0, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64())], ["row", "other", "own", "hot"])
         mine = opened(new)
         own, hot = within(mine, most, crowd)
-        past = between(mine, opened(old)) if old.num_rows else np.empty((0, 2), np.int64)
+        # stored entries are sorted as they are: they are neither copied nor sorted again
+        past = np.concatenate([np.empty((0, 2), np.int64), *(between(mine, c) for c in chunks(old))])
         slot = new.column("slot")[0].as_py()
         keys = (mine[0][hot].astype(np.int64) << 24) ^ slot  # names the key among all slots
         rows = np.r_[own[:, 0], past[:, 0], mine[1][hot]]
@@ -68,6 +69,28 @@ def _meetings(most: int, crowd: int):
     return run
 
 
+def _dropped(gone: np.ndarray):
+    """Packed entries without those of the rows ``gone`` (sorted)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [closed(slot, tuple(x[~np.isin(c[1], gone)] for x in c)) for slot, c in zip(b.column("slot").to_pylist(), chunks(pa.Table.from_batches([b])), strict=True)]
+            for t in kept:
+                yield from t.to_batches()
+
+    return run
+
+
+def _others(rows: DataFrame, gone: np.ndarray) -> DataFrame:
+    """``rows(row, words)`` without those of ``gone``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~np.isin(b.column("row").to_numpy(), gone)))
+
+    return rows.mapInArrow(run, "row bigint, words binary")
+
+
 def _without(new: pa.Table, gone: pa.Table) -> pa.Table:
     """One slot's new entries but for those of rows turned away."""
     if not new.num_rows:
@@ -181,17 +204,20 @@ class History:
         found = Observation()
         edges = written(edges.observe(found, F.count(F.lit(1)).alias("n")), "near")
         if found.get["n"] <= ONE_TASK_EDGES and not past.get["hot"]:
-            out = _resolve_small(edges)
+            # no more rows than edges, so the numbers alone may go to every task
+            gone = np.array(sorted(r[0] for r in _resolve_small(edges).collect()), np.int64)
+            kept = new.mapInArrow(_dropped(gone), ENTRIES)
+            accepted = _others(reps.select("row", "words"), gone)
         else:
             known = written(edges.where("not own").select("row").distinct(), "known")
             own = edges.where("own").join(known, "row", "left_anti").join(known.select(F.col("row").alias("other")), "other", "left_anti")
             hot = met.where("hot is not null").select(F.col("hot").alias("key"), "row").join(known, "row", "left_anti")
             out = known.union(self._resolve(own.select("row", "other"), written(hot, "hot"), reps))
-        out = written(out, "out")
-        kept = new.groupBy("slot").cogroup(keys(reps.join(out, "row", "left_semi")).groupBy("slot")).applyInArrow(_without, ENTRIES)
+            out = written(out, "out")
+            kept = new.groupBy("slot").cogroup(keys(reps.join(out, "row", "left_semi")).groupBy("slot")).applyInArrow(_without, ENTRIES)
+            accepted = reps.join(out, "row", "left_anti").select("row", "words")
         kept.withColumn("attempt", F.lit(attempt)).write.insertInto(f"{self.name}_keys")
-        fresh_sets = reps.join(out, "row", "left_anti").select("row", "words", F.lit(attempt).alias("attempt"))
-        fresh_sets.repartition(meta["buckets"], "row").write.insertInto(f"{self.name}_sets")
+        accepted.withColumn("attempt", F.lit(attempt)).repartition(meta["buckets"], "row").write.insertInto(f"{self.name}_sets")
         meta["done"].append(attempt)
         put_text(spark, f"{self.path}/manifest/{attempt:09d}", json.dumps(meta))
         self._drop(fresh, at)

@@ -104,11 +104,26 @@ def slotted(df: DataFrame, keys: Callable[[pa.RecordBatch], tuple[np.ndarray, np
     return df.select("row", "map", "size", *needs).mapInArrow(run, ENTRIES)
 
 
+def chunks(table: pa.Table) -> list[tuple[np.ndarray, ...]]:
+    """``(keys, rows, maps, sizes)`` of every packed row, each sorted by key, as views of the table's memory."""
+    out = []
+    for b in table.to_batches():
+        cols = []
+        for name, kind in _KINDS:
+            c = b.column(name)
+            off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            data = np.frombuffer(c.buffers()[2], np.uint8) if c.buffers()[2] else np.empty(0, np.uint8)
+            cols.append([data[x:y].view(kind) for x, y in zip(off, off[1:], strict=False)])
+        out += list(zip(*cols, strict=True))
+    return out
+
+
 def opened(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """``(keys, rows, maps, sizes)`` of one slot's packed arrays, sorted by key, then row."""
-    cols = []
-    for name, kind in _KINDS:
-        cols.append(np.frombuffer(b"".join(x.as_py() for c in table.column(name).chunks for x in c), kind))
+    """The packed rows of one slot as one, sorted by key, then row."""
+    parts = chunks(table)
+    if not parts:
+        return tuple(np.empty(0, kind) for _, kind in _KINDS)
+    cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
     order = np.lexsort((cols[1], cols[0]))
     return tuple(c[order] for c in cols)
 
