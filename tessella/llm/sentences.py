@@ -5,7 +5,8 @@ lines, the whole spans that score best together: how a span opens, how it
 closes, whether quotations and brackets are balanced in it, and its length. How
 likely a word opens a sentence, and how likely a dotted word goes on, is counted
 over all documents; short lists of well-known abbreviations help where the
-corpus is silent.
+corpus is silent. Spans may be of any length: the search looks back until no
+earlier start can win.
 """
 
 from __future__ import annotations
@@ -68,8 +69,17 @@ _AFTER_DOT = re.compile(rf"({_L}+)\.([,\s]{{1,2}})(?=([^\W_]))")
 _FIRSTS = re.compile(r"[.!?…][»”\")]*\s+[«“„\"(—–-]*\s*([^\W\d_])")
 #: Score of a span's length, by its characters.
 _LENGTH = [-9.0] + [-0.15 * abs(math.log(n / 60.0)) - (1.0 if n < 3 else 0.0) for n in range(1, 2048)]
-#: Spans look back over so many possible ends.
-LOOK_BACK = 24
+#: A mark that is open where a span starts or ends costs so much there.
+OPEN = 3.5
+#: Possible ends of this score or less are no ends. Cutting a span in two can gain no more than the length score takes
+#: off the whole, 0.15 * log(size / 60), which is less than this for any text of under 10^17 characters.
+NEVER = -5.5
+#: Words seen in less than this share of their kind's places say nothing: at most its inverse can be in the table, at any size of the corpus.
+RARE = 1e-6
+
+
+def _size_score(size: int) -> float:
+    return _LENGTH[size] if size < len(_LENGTH) else -0.15 * math.log(size / 60.0)
 
 
 def _key(text: str, at: int) -> str:
@@ -150,10 +160,11 @@ class Seen:
         return out
 
 
-def statistics(docs: DataFrame, text: str = "text", words: int = 200_000, least: int = 2) -> DataFrame:
+def statistics(docs: DataFrame, text: str = "text", rare: float = RARE, least: int = 2) -> DataFrame:
     """``(word, kind, score)``: log odds that a word opens a sentence (kind ``o``)
-    or that a dotted word goes on (kind ``a``), counted over all documents. The
-    table is bounded: the ``words`` most frequent of each kind are kept, others score 0."""
+    or that a dotted word goes on (kind ``a``), counted over all documents. Words
+    of a share under ``rare`` of their kind, or under ``least`` places, score 0: so a
+    corpus and its hundredfold give the same table, of 1/``rare`` words a kind at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
@@ -175,9 +186,10 @@ def statistics(docs: DataFrame, text: str = "text", words: int = 200_000, least:
     flip = F.when(F.col("kind").isin("o", "m"), "o").otherwise("a")
     yes = F.sum(F.when(F.col("kind").isin("o", "a"), F.col("n")).otherwise(0))
     t = n.groupBy("word", flip.alias("kind")).agg(yes.alias("yes"), F.sum("n").alias("all")).where(F.col("all") >= least)
-    t = written(t.withColumn("score", F.log((F.col("yes") + 0.5) / (F.col("all") - F.col("yes") + 0.5))), "openings")  # read twice
-    top = lambda k: t.where(F.col("kind") == k).orderBy(F.desc("all"), "word").limit(words)
-    return top("o").union(top("a")).select("word", "kind", "score")
+    t = written(t, "openings")  # read twice
+    total = {r["kind"]: r["n"] for r in t.groupBy("kind").agg(F.sum("all").alias("n")).collect()}  # two rows
+    floor = F.when(F.col("kind") == "o", rare * total.get("o", 0)).otherwise(rare * total.get("a", 0))
+    return t.where(F.col("all") >= floor).select("word", "kind", F.log((F.col("yes") + 0.5) / (F.col("all") - F.col("yes") + 0.5)).alias("score"))
 
 
 def _depths(text: str, a: int, b: int) -> tuple[list[int], list[int]]:
@@ -227,9 +239,9 @@ class Cutter:
             out += self._block(text, a, b, cased)
         return out
 
-    def _ends(self, text: str, a: int, b: int, cased: bool) -> list[tuple[int, int, float]]:
-        """Possible ends ``(end, next start, score)`` inside a block. A positive
-        score speaks for a boundary: closing word, opening word and what stands between."""
+    def _ends(self, text: str, a: int, b: int, cased: bool) -> list[tuple[int, int, float, float]]:
+        """Possible ends ``(end, next start, closing, opening)`` inside a block: how well a span
+        closes here by its last word and marks, and how well the next one opens with its first word."""
         out = []
         for m in _CAND.finditer(text, a, b):
             e = m.end()
@@ -243,7 +255,7 @@ class Cutter:
                 n += 1
             gap = n > e
             if stop not in STOPS:
-                out.append((e, n, 4.0))  # Thai particle
+                out.append((e, n, 4.0, 0.0))  # Thai particle
                 continue
             prev = text[m.start() - 1] if m.start() > a else " "
             wide = any(c in WIDE for c in mark) or (stop in "…！？!?" and bool(_CJK.match(prev)))
@@ -268,20 +280,20 @@ class Cutter:
             closers = mark.lstrip(STOPS)
             quoted = any(x in "”\"»」』“’›" for x in closers)
             if wide:
-                s = 3.0
+                s, opening = 3.0, 0.0
                 if "…" in mark and not any(x in WIDE for x in mark):
-                    s = -2.5 + o
+                    s, opening = -2.5, o
                 elif quoted:
                     if QUOTED_ON.match(text, n):
                         s = -6.0
                     elif not gap and self._speech_first(text, a, m.start(), closers) and SAID.match(text, n):
                         s = -6.0
-                out.append((e, n, s))
+                out.append((e, n, s, opening))
                 continue
             if lead[:1] in ("—", "–", "-") and (c.islower() or quoted or (not cased and o < 1.5)):
-                out.append((e, n, -6.0))
+                out.append((e, n, 0.0, -6.0))
                 continue
-            weight, dotted = 0.9, 0.0
+            weight, dotted, opening = 0.9, 0.0, 0.0
             if stop == "." and not mark.startswith("..") and not closers:
                 dotted = self._dotted(text, a, m.start(), o, digit and not listed, cased, word)
             if stop in "!?؟":
@@ -298,19 +310,19 @@ class Cutter:
             if quoted and stop not in "…":
                 s += 0.3
             if digit:
-                s += 1.0 + 0.3 * max(o, 0.0) if listed else 0.0
+                opening = 1.0 + 0.3 * max(o, 0.0) if listed else 0.0
             elif c.islower():
                 if cased:
-                    s -= 6.0
+                    opening = -6.0
                 else:
-                    s += weight * o - (0.8 if word not in self.opens else 0.0)
+                    opening = weight * o - (0.8 if word not in self.opens else 0.0)
             elif c.isupper():
-                s += 1.5 + 0.6 * o
+                opening = 1.5 + 0.6 * o
             elif c:  # scripts without case
-                s += weight * o
+                opening = weight * o
                 if quoted and o < 0.5:
-                    s -= 6.0
-            out.append((e, n, s + dotted))
+                    opening -= 6.0
+            out.append((e, n, s + dotted, opening))
         return out
 
     @staticmethod
@@ -359,49 +371,63 @@ class Cutter:
         return score
 
     def _block(self, text: str, a: int, b: int, cased: bool) -> list[tuple[int, int]]:
-        cand = self._ends(text, a, b, cased)
-        cand = [c for c in cand if c[2] > -5.5]
+        cand = [c for c in self._ends(text, a, b, cased) if c[2] + c[3] > NEVER]
         if not cand:
             return [(a, b)]
-        po, pc = _depths(text, a, b)
         ends = [c[0] for c in cand] + [b]
         starts = [a] + [c[1] for c in cand]
-        gain = [c[2] for c in cand] + [0.0]
+        closing = [c[2] for c in cand] + [0.0]
+        opening = [0.0] + [c[3] for c in cand]
         n = len(ends)
-        inside = [0] * n  # matched marks open across an end
+        cut = [0] * (n + 1)  # matched marks open across the cut before span k
+        po, pc = _depths(text, a, b)
         if po:
             pc.sort()
             for k in range(n - 1):
-                inside[k] = bisect_left(po, ends[k]) - bisect_left(pc, ends[k])
-        best = [-1e18] * n
-        back = [-1] * n
+                cut[k + 1] = bisect_left(po, ends[k]) - bisect_left(pc, ends[k])
+        best = [0.0] * (n + 1)  # of the text before span k
+        head = [0.0] * n  # that, and how span k opens
+        back = [0] * (n + 1)
+        live: list[int] = []  # starts that may yet win, in order
         for k in range(n):
-            top, arg = -1e18, -1
-            for j in range(k - 1, max(-2, k - 1 - LOOK_BACK), -1):
-                s = starts[j + 1]
-                before = best[j] if j >= 0 else 0.0
-                if before <= -1e17:
-                    continue
-                v = before + self._span(text, s, ends[k])
-                if v > top:
+            head[k] = best[k] + opening[k] - OPEN * cut[k]
+            live.append(k)
+            e, top, arg, kept, mark = ends[k], -1e18, -1, [], -1e18
+            for j in live:  # the span from start j to end k
+                v = best[j] + self._span(text, starts[j], e, opening[j], closing[k], cut[j], cut[k + 1])
+                if v >= top:
                     top, arg = v, j
-            best[k] = top + gain[k] - 7.0 * inside[k]
-            back[k] = arg
-        cuts, k = [], n - 1
-        while k >= 0:
+                # the lead that the length score gives to the later of two starts shrinks as both spans grow: past
+                # 60 characters, a start that an earlier one has overtaken stays behind it
+                if e - starts[j] < 60 or v > mark:
+                    kept.append(j)
+                    if e - starts[j] >= 60:
+                        mark = v
+            best[k + 1], back[k + 1] = top, arg
+            # and an earlier start that isn't ahead without the length score never will be
+            live, mark = [], -1e18
+            for j in reversed(kept):
+                if head[j] > mark:
+                    live.append(j)
+                if e - starts[j] >= 60:
+                    mark = max(mark, head[j])
+            live.reverse()
+        cuts, k = [], n
+        while k > 0:
             j = back[k]
-            cuts.append((starts[j + 1], ends[k]))
+            cuts.append((starts[j], ends[k - 1]))
             k = j
         return cuts[::-1]
 
     @staticmethod
-    def _span(text: str, s: int, e: int) -> float:
-        """What a span scores by itself: a list number or a bare mark is no sentence,
-        and very short or very long ones are a little less likely."""
+    def _span(text: str, s: int, e: int, opening: float, closing: float, before: int, after: int) -> float:
+        """What a whole span scores: how it opens and how it closes, what quotations and
+        brackets it leaves open on either side, and its length. A list number or
+        a bare mark is no sentence, and very short or very long spans are a little less likely."""
         size = e - s
         if size <= 5 and _NUMBER.match(text[s:e]):
-            return -9.0
-        return _LENGTH[size] if size < len(_LENGTH) else -0.15 * math.log(size / 60.0)
+            return opening + closing - OPEN * (before + after) - 9.0
+        return opening + closing - OPEN * (before + after) + _size_score(size)
 
 
 def _held(stats: DataFrame) -> Cutter:

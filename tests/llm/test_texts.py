@@ -1,6 +1,10 @@
 """Sentences and leaks on small cases."""
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from tessella.llm import leaks
+from tessella.llm import sentences as sn
 from tessella.llm.sentences import Cutter, sentences
 
 
@@ -30,6 +34,38 @@ def test_sentences_without_capitals():
     assert cut("В перерыв.Версия памятки 47.3.16 действует.") != []
 
 
+def searched(cutter, text):
+    """The best cuts of one block by the scores, every span tried."""
+    cand = [c for c in cutter._ends(text, 0, len(text), True) if c[2] + c[3] > sn.NEVER]
+    ends, starts = [c[0] for c in cand] + [len(text)], [0] + [c[1] for c in cand]
+    close, opens = [c[2] for c in cand] + [0.0], [0.0] + [c[3] for c in cand]
+    po, pc = sn._depths(text, 0, len(text))
+    cut = [0] + [sum(p < e for p in po) - sum(p < e for p in pc) for e in ends[:-1]] + [0]
+    best = [0.0]
+    for k, e in enumerate(ends):
+        best.append(max(best[j] + cutter._span(text, starts[j], e, opens[j], close[k], cut[j], cut[k + 1]) for j in range(k + 1)))
+    return best[-1], ends, starts, opens, close, cut
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["Он молчал… ", "А потом… ", "пошёл. ", "«Да… ", "Нет!» ", "13. ", "ул. Мира ", "(см. ", "рис. 2) ", "слово слово слово слово слово ", "Dr. ", "? "]), min_size=1, max_size=45))
+def test_sentences_search_is_exact(parts):
+    text = "".join(parts).strip()
+    cutter = Cutter()
+    want, ends, starts, opens, close, cut = searched(cutter, text)
+    got, total = cutter._block(text, 0, len(text), True), 0.0
+    for a, b in got:
+        j, k = starts.index(a), ends.index(b)
+        total += cutter._span(text, a, b, opens[j], close[k], cut[j], cut[k + 1])
+    assert abs(total - want) < 1e-6 and [x for s in got for x in s] == sorted(x for s in got for x in s)
+
+
+def test_sentences_look_back_as_far_as_they_must():
+    quoted = "Он сказал: «" + "Ну… Так… Вот… " * 20 + "всё». Потом ушёл."
+    assert len(cut(quoted)) == 2
+    assert len(cut("Слово… слово… " * 4000)) >= 1  # and stay fast
+
+
 def test_sentences_edges(spark):
     assert cut("Заголовок\n\nПервая строка\nпродолжается. Вторая.\n \n(Скобки.)") == ["Заголовок", "Первая строка\nпродолжается.", "Вторая.", "(Скобки.)"]
     assert cut("") == [] and cut(" \n\n ") == [] and Cutter().cut(None) == []
