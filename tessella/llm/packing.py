@@ -1,12 +1,14 @@
 """Filling fixed-capacity containers with documents.
 
-Documents are dealt to pools by a hash, each pool is packed by bin completion,
+Documents are dealt to pools by a hash, each pool is packed by bin completion
+(branch and bound over containers, best fit as incumbent),
 and what a pool's last, poorly filled containers hold is pooled and packed again,
 until one small pool is left. Nothing but sizes and keys is moved.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 
 from tessella.session import written
 
-#: Documents of a pool; nodes of the search for one container's filling.
-POOL, NODES = 4_000, 400
+#: Documents of a pool; completions that the search of a pool may try before its incumbent stands.
+POOL, NODES = 4_000, 2_000
+#: Fillings of one container that are set against each other, and steps to list them.
+CHOICES, STEPS = 4, 200
 
 
 def byte_tokens(text: Column) -> Column:
@@ -24,18 +28,48 @@ def byte_tokens(text: Column) -> Column:
     return F.octet_length(text) + F.lit(1)
 
 
-def completions(sizes: np.ndarray, count: np.ndarray, room: int, nodes: int = NODES) -> list[int]:
-    """Indices into ``sizes`` (distinct, descending) of the fullest filling of ``room`` found.
+def lower_bound(sizes: np.ndarray, count: np.ndarray, capacity: int) -> int:
+    """Containers that ``count`` documents of the distinct ``sizes`` need at least: for each t up to half a
+    container, documents of more than capacity - t stand alone, those of more than a half
+    share with none of their kind, and what those of t or more leave over needs room of its own."""
+    total = sizes * count
+    best = -(-int(total.sum()) // capacity)
+    half = int(count[2 * sizes > capacity].sum())
+    for t in np.unique(sizes[2 * sizes <= capacity]):
+        big, mid = sizes > capacity - t, (sizes <= capacity - t) & (2 * sizes > capacity)
+        low = (2 * sizes <= capacity) & (sizes >= t)
+        room = int(count[mid].sum()) * capacity - int(total[mid].sum())
+        best = max(best, int(count[big].sum()) + int(count[mid].sum()) + max(0, -(-(int(total[low].sum()) - room) // capacity)))
+        if len(sizes) > 2_000:  # the sum alone decides among so many sizes
+            break
+    return max(best, half)
 
-    Branch and bound over undominated fillings: a size is tried before smaller
-    ones, the incumbent starts as best fit, a branch is cut when even its room
-    filled to the last can't beat it, and one that wastes nothing ends the
-    search. A filling is dominated if one of its documents could be swapped for a
-    larger unused one that still fits: trying the largest that fits first, and
-    closing every branch with the largest that fits, leaves those out.
-    """
-    n = len(sizes)
-    left = count.copy()
+
+def dominated(filling: list[int], sizes: np.ndarray, left: np.ndarray, slack: int) -> bool:
+    """Whether another filling of the same container is at least as good whatever comes after: one
+    of its documents, or two together, can be swapped for one larger unused document that fits the
+    ``slack`` too (what is swapped out fits wherever that one would have gone). ``filling`` holds indices into
+    ``sizes`` (distinct, descending), ``left`` what is unused besides."""
+    if not slack and len(filling) < 2:
+        return False
+
+    def larger(low: int, high: int) -> bool:
+        """An unused size in (low, high]."""
+        a, z = int(np.searchsorted(-sizes, -high)), int(np.searchsorted(-sizes, -low))
+        return bool(left[a:z].any())
+
+    own = [int(sizes[k]) for k in filling]
+    if slack and any(larger(x, x + slack) for x in set(own)):
+        return True
+    pairs = {x + y for i, x in enumerate(own) for y in own[i + 1 :]}
+    return any(larger(x - 1, x + slack) for x in pairs)
+
+
+def completions(sizes: np.ndarray, left: np.ndarray, room: int, choices: int = CHOICES, steps: int = STEPS) -> list[tuple[int, list[int]]]:
+    """``(waste, filling)`` of up to ``choices`` undominated fillings of ``room``, the fullest first, each as
+    indices into ``sizes`` (distinct, descending). The first filling tried is best fit: the largest that
+    fits, again and again. A branch is cut when even all that it may still take can't beat the worst filling kept."""
+    n, left = len(sizes), left.copy()
 
     def largest(room: int, start: int) -> int:
         k = max(start, int(np.searchsorted(-sizes, -room)))
@@ -43,85 +77,148 @@ def completions(sizes: np.ndarray, count: np.ndarray, room: int, nodes: int = NO
             k += 1
         return k
 
-    best: list[int] = []
-    waste = room
-    at, gap, filling = largest(room, 0), room, []
-    while at < n:  # incumbent: best fit
-        filling.append(at)
-        left[at] -= 1
-        gap -= int(sizes[at])
-        at = largest(gap, at)
-    for k in filling:
-        left[k] += 1
-    best, waste = filling, gap
-    if not waste or n == 0:
-        return best
-    seen = 0
+    found: list[tuple[int, list[int]]] = []
     stack: list[tuple[int, int]] = []  # (index taken, room before)
-    gap, at = room, largest(room, 0)
-    while seen < nodes:
+    gap, at, seen = room, largest(room, 0), 0
+    while True:
         if at < n and gap > 0:
             seen += 1
             stack.append((at, gap))
             left[at] -= 1
             gap -= int(sizes[at])
-            if gap < waste:
-                best, waste = [k for k, _ in stack], gap
-                if not waste:
-                    break
             at = largest(gap, at)
             continue
-        if not stack:
+        filling = [k for k, _ in stack]  # maximal: nothing more fits after its last document
+        if filling and all(f != filling for _, f in found) and not dominated(filling, sizes, left, gap):
+            found = sorted([*found, (gap, filling)], key=lambda f: f[0])[:choices]
+        if not stack or seen >= steps or (len(found) == choices and not found[-1][0]):
             break
         k, gap = stack.pop()
         left[k] += 1
         at = k + 1
         while at < n and not left[at]:
             at += 1
-        # bound: all that is left in this branch is smaller than k; one more document must be able to do better
-        if at < n and int(sizes[at]) * int(left[at:].sum()) < gap - waste:
+        worst = found[-1][0] if len(found) == choices else room + 1
+        if at < n and int(sizes[at]) * int(left[at:].sum()) <= gap - worst:
             at = n
-    for k, _ in stack:
-        left[k] += 1
-    return best
+    if not found:  # no step was left to reach an undominated one: best fit is always allowed
+        filling, gap, left = [], room, left.copy()
+        for k, _ in stack:
+            left[k] += 1
+        at = largest(room, 0)
+        while at < n:
+            filling.append(at)
+            left[at] -= 1
+            gap -= int(sizes[at])
+            at = largest(gap, at)
+        found = [(gap, filling)] if filling else []
+    return found
+
+
+def _best_fit(sizes: np.ndarray, count: np.ndarray, capacity: int) -> list[list[int]]:
+    """Largest first, each into the fullest container with room."""
+    bins: list[list[int]] = []
+    rooms: list[tuple[int, int]] = []  # sorted (room, container)
+    for k, c in enumerate(count):
+        x = int(sizes[k])
+        for _ in range(int(c)):
+            p = bisect_left(rooms, (x, -1))
+            if p < len(rooms):
+                room, b = rooms.pop(p)
+            else:
+                room, b = capacity, len(bins)
+                bins.append([])
+            bins[b].append(k)
+            if room > x:
+                insort(rooms, (room - x, b))
+    return bins
+
+
+def searched(sizes: np.ndarray, count: np.ndarray, capacity: int, nodes: int = NODES) -> tuple[list[list[int]], bool]:
+    """Containers as lists of indices into the distinct, descending ``sizes``, and whether they are known to be the fewest (the bound is met).
+
+    Bin completion: the largest document left opens a container, which is completed
+    by each of its undominated fillings in turn, the fullest first, and the rest is
+    packed likewise; the search goes back over containers. A branch is cut when its containers and the
+    room that the rest fills at least are no fewer than the incumbent's. Best-fit decreasing is the first incumbent. The search
+    ends when :func:`lower_bound` is met, all listed fillings are searched, or ``nodes`` completions beyond the first descent are tried.
+    """
+    best = _best_fit(sizes, count, capacity)
+    bound = lower_bound(sizes, count, capacity)
+    if len(best) <= bound:
+        return best, True
+    tried, left = 0, count.copy()
+    done: list[list[int]] = []
+    stack: list[list[list[int]]] = []  # fillings not yet tried, per open container
+    left_sum = int((sizes * count).sum())
+
+    def options() -> list[list[int]]:
+        top = int(np.flatnonzero(left)[0])
+        left[top] -= 1
+        room = capacity - int(sizes[top])
+        # full ones last: they are taken from the end
+        out = [[top, *f] for _, f in reversed(completions(sizes, left, room))] if room else []
+        left[top] += 1
+        return out or [[top]]
+
+    stack.append(options())
+    while stack:
+        if not stack[-1]:
+            stack.pop()
+            if done:
+                for k in done.pop():
+                    left[k] += 1
+                    left_sum += int(sizes[k])
+            continue
+        filling = stack[-1].pop()
+        tried += 1
+        for k in filling:
+            left[k] -= 1
+            left_sum -= int(sizes[k])
+        done.append(filling)
+        rest = -(-left_sum // capacity)
+        if not left_sum:
+            if len(done) < len(best):
+                best = [list(f) for f in done]
+            if len(best) <= bound:
+                return best, True
+        elif len(done) + rest < len(best) and tried < nodes + len(best):  # the first descent is always finished
+            stack.append(options())
+            continue
+        for k in done.pop():
+            left[k] += 1
+            left_sum += int(sizes[k])
+        if tried >= nodes + len(best):
+            break
+    return best, False
 
 
 def packed(sizes: np.ndarray, capacity: int, nodes: int = NODES) -> np.ndarray:
-    """Container number of each document (sizes at most ``capacity``), largest first:
-    each container is opened by the largest document left and completed."""
-    order = np.argsort(-sizes, kind="stable")
+    """Container number of each document (sizes at most ``capacity``)."""
     uniq, inv, count = np.unique(-sizes, return_inverse=True, return_counts=True)
-    uniq = -uniq
-    members = np.split(order, np.cumsum(count)[:-1]) if len(order) else []
-    queue = [list(m[::-1]) for m in members]
-    left = count.copy()
     out = np.full(len(sizes), -1, np.int64)
-    bin_no, top = 0, 0
-    while top < len(uniq):
-        if not left[top]:
-            top += 1
-            continue
-        left[top] -= 1
-        out[queue[top].pop()] = bin_no
-        room = capacity - int(uniq[top])
-        if room:
-            low = top
-            for k in completions(uniq[low:], left[low:], room, nodes):
-                left[low + k] -= 1
-                out[queue[low + k].pop()] = bin_no
-        bin_no += 1
+    if not len(sizes):
+        return out
+    members = np.split(np.argsort(inv, kind="stable"), np.cumsum(count)[:-1])
+    queue = [list(m[::-1]) for m in members]
+    for b, filling in enumerate(searched(-uniq, count, capacity, nodes)[0]):
+        for k in filling:
+            out[queue[k].pop()] = b
     return out
 
 
 def _pack_pools(items: DataFrame, good: float) -> DataFrame:
-    """Packs each ``(pack_id, pool)`` of ``(pack_id, cap, pool, doc, size)``; adds container number and whether it is
-    filled to ``good``."""
+    """Packs each ``(pack_id, pool)`` of ``(pack_id, cap, pool, doc, size)``; adds container number and whether it
+    stays: it is filled to ``good`` or belongs to the fuller half of its pool's."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         cap = int(pdf["cap"].iloc[0])
         pdf = pdf.sort_values(["size", "doc"], ascending=[False, True], kind="stable")
         pdf["bin"] = packed(pdf["size"].to_numpy(), cap)
-        pdf["full"] = pdf.groupby("bin")["size"].transform("sum") >= good * cap
+        fill = pdf.groupby("bin")["size"].sum()
+        # the fuller half stays in any case, so that each level has at most half the containers of the one before
+        stays = (fill >= good * cap) | (fill.rank(method="first", ascending=False) <= (len(fill) + 1) // 2)
+        pdf["full"] = pdf["bin"].map(stays)
         return pdf[["pack_id", "cap", "pool", "doc", "size", "bin", "full"]]
 
     return items.groupBy("pack_id", "pool").applyInPandas(one, "pack_id string, cap bigint, pool bigint, doc bigint, size bigint, bin bigint, full boolean")
@@ -161,9 +258,7 @@ def containers(docs: DataFrame, packs: DataFrame, key: str = "doc_id", text: str
         got = written(_pack_pools(t.select("pack_id", "cap", "pool", "doc", "size"), 0.0 if last else good), f"pools{level}")
         name = F.concat_ws("-", F.lit(f"{level}"), "pool", "bin")
         done.append(got.where("full").select("pack_id", "doc", name.alias("container"), "size"))
-        if last or level > 20:
-            if not last:
-                done.append(got.where("not full").select("pack_id", "doc", name.alias("container"), "size"))
+        if last:
             break
         todo, level = got.where("not full").select("pack_id", "cap", "doc", "size"), level + 1
     packed_all = done[0]
