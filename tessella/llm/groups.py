@@ -105,9 +105,13 @@ def assigned(df: DataFrame, targets: DataFrame, key: str = "row_no", seed: str =
     (ties: by a fixed hash). ``labels`` are the strata; rows whose label denotes
     none of them are the stratum ``''``. Without ``labels`` there is one stratum.
     """
-    label = F.coalesce(denoted(F.col(stratum), labels), F.lit("")) if labels else F.lit("")
     g = grouped(df, key, seed)
-    base = df.select(F.col(key), label.alias("_s")).join(g, key, "left")
+    base = df.select(F.col(key), F.lit("").alias("_s"))
+    if labels:  # read once a spelling
+        spelled = df.select(F.col(stratum).alias("_l")).distinct().where("_l is not null")
+        spelled = written(spelled.select("_l", F.coalesce(denoted(F.col("_l"), labels), F.lit("")).alias("_s")), "spellings")
+        base = df.select(F.col(key), F.col(stratum).alias("_l")).join(spelled, "_l", "left").select(key, F.coalesce("_s", F.lit("")).alias("_s"))
+    base = base.join(g, key, "left")
     base = written(base.withColumn("_g", F.coalesce(F.col("group"), -F.xxhash64(F.lit(3), F.col(key)).bitwiseAND(F.lit((1 << 62) - 1)) - 1)), "split_rows")
     by = base.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("n"))
     comp = by.groupBy("_g").agg(F.sum("n").alias("w"), F.max_by("_s", F.struct(F.col("n"), -F.crc32("_s"))).alias("_s"))

@@ -38,7 +38,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     """The split of every row."""
     targets = _t(spark, d, "sample_targets").select("route_domain").where("route_domain is not null").distinct()
-    labels = sorted(r[0] for r in targets.limit(10_000).collect())
+    labels = sorted(r[0] for r in targets.limit(10_001).collect())
+    if len(labels) > 10_000:
+        raise ValueError("more than 10000 strata")
     return _m("groups").assigned(_t(spark, d, "d1_v6_hard_test"), _t(spark, d, "split_targets"), labels=labels)
 
 

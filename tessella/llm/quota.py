@@ -13,6 +13,8 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import written
+
 #: Rows of a target table that the driver may hold.
 MAX_CELLS = 100_000
 
@@ -48,35 +50,42 @@ def target_rows(targets: DataFrame) -> list[dict]:
     return sorted(rows, key=lambda r: (r["route_domain"] or "", r["subtype"] or ""))
 
 
-def labelled(df: DataFrame, cells: list[dict]) -> DataFrame:
-    """``df`` with ``_d`` and ``_s``, the target labels its own ones denote (NULL: none)."""
+def spellings(df: DataFrame, cells: list[dict]) -> DataFrame:
+    """``(route_domain, subtype, _d, _s, n)``: each pair of labels as written, the target labels it
+    denotes (NULL: none) and its rows. Labels are read once a spelling, not once a row."""
+    spelled = df.groupBy("route_domain", "subtype").agg(F.count(F.lit(1)).alias("n"))
     doms, subs = (sorted({r[k] for r in cells if r[k]}) for k in ("route_domain", "subtype"))
     if not doms or not subs:
-        return df.withColumn("_d", F.lit(None).cast("string")).withColumn("_s", F.lit(None).cast("string"))
-    return df.withColumn("_d", denoted(F.col("route_domain"), doms)).withColumn("_s", denoted(F.col("subtype"), subs))
+        return spelled.withColumn("_d", F.lit(None).cast("string")).withColumn("_s", F.lit(None).cast("string"))
+    return written(spelled.withColumn("_d", denoted(F.col("route_domain"), doms)).withColumn("_s", denoted(F.col("subtype"), subs)), "spellings")
 
 
-def category_counts(df: DataFrame, cells: list[dict]) -> tuple[dict, int]:
-    """Rows per target cell, and of all rows. Spellings are counted first, then
-    read, so labels are canonicalised once a spelling."""
-    spelled = df.groupBy("route_domain", "subtype").agg(F.count(F.lit(1)).alias("n"))
-    spelled = labelled(spelled, cells)
-    # cells x spellings that denote nothing are one row: the result is bounded by the target table
-    rows = spelled.groupBy("_d", "_s").agg(F.sum("n").alias("n")).collect()
-    return {(r["_d"], r["_s"]): r["n"] for r in rows}, sum(r["n"] for r in rows)
+def run(df: DataFrame, targets: DataFrame, share: float = 0.2) -> tuple[list[dict], DataFrame]:
+    """The quota table, a dict a target category, and the :func:`spellings` it was made from.
 
-
-def shortfalls(df: DataFrame, targets: DataFrame, share: float = 0.2) -> DataFrame:
-    """Each target category with its rows, quota and whether it falls short."""
+    ``rows`` it has, ``wanted`` by its share of the sample, ``quota`` after controlled
+    rounding of the two-way table, and ``short``: what it is asked for, by share or by ``min_rows``, is more than it has.
+    """
     cells = target_rows(targets)
-    have, total = category_counts(df, cells)
-    size = math.floor(total * share + 1e-9)
+    spelled = spellings(df, cells)
+    # spellings that denote nothing are one row: the result is bounded by the target table
+    have = {(r["_d"], r["_s"]): r["n"] for r in spelled.groupBy("_d", "_s").agg(F.sum("n").alias("n")).collect()}
+    size = math.floor(sum(have.values()) * share + 1e-9)
+    quota = quotas(cells, have, size)
     out = []
     for r in cells:
-        n = have.get((r["route_domain"], r["subtype"]), 0)
-        want = r["target_share"] * size
-        out.append((r["route_domain"], r["subtype"], n, float(want), int(r["min_rows"] or 0), bool(n < want - 1e-9 or n < (r["min_rows"] or 0))))
-    return df.sparkSession.createDataFrame(out, "route_domain string, subtype string, rows bigint, wanted double, min_rows int, short boolean")
+        k = (r["route_domain"], r["subtype"])
+        n, want, least = have.get(k, 0), float(r["target_share"] or 0) * size, int(r["min_rows"] or 0)
+        short = n < want - 1e-9 or n < least
+        out.append({"route_domain": k[0], "subtype": k[1], "rows": n, "wanted": want, "min_rows": least, "quota": quota[k], "short": short})
+    return out, spelled
+
+
+def shortfalls(df: DataFrame, targets: DataFrame, share: float = 0.2) -> DataFrame:
+    """Each target category with its rows, what was wanted of it, its quota and whether it falls short."""
+    table, _ = run(df, targets, share)
+    kinds = "route_domain string, subtype string, rows bigint, wanted double, min_rows int, quota bigint, short boolean"
+    return df.sparkSession.createDataFrame([tuple(r.values()) for r in table], kinds)
 
 
 class _Flow:
@@ -198,12 +207,12 @@ def drawn(df: DataFrame, targets: DataFrame, share: float = 0.2, key: str = "row
     are taken whole, and only that one range is ordered, so a cell with a third
     of all rows is never sorted in one task.
     """
-    cells = target_rows(targets)
-    have, total = category_counts(df, cells)
-    quota = quotas(cells, have, math.floor(total * share + 1e-9))
+    table, spelled = run(df, targets, share)
     spark = df.sparkSession
-    q = spark.createDataFrame([(d, s, n) for (d, s), n in quota.items()], "_d string, _s string, _q bigint")
-    rows = labelled(df.select(key, "route_domain", "subtype"), cells).where("_d is not null and _s is not null")
+    q = spark.createDataFrame([(r["route_domain"], r["subtype"], r["quota"]) for r in table], "_d string, _s string, _q bigint")
+    # labels that denote a category are never NULL; Spark broadcasts the spellings if it finds them few
+    names = spelled.where("_d is not null and _s is not null").select("route_domain", "subtype", "_d", "_s")
+    rows = df.select(F.col(key), "route_domain", "subtype").join(names, ["route_domain", "subtype"])
     rows = rows.select(key, "_d", "_s", F.xxhash64(F.lit(seed), F.col(key)).alias("_r"))
     rows = rows.withColumn("_b", F.pmod("_r", F.lit(slots)))
     seen = rows.groupBy("_d", "_s", "_b").agg(F.count(F.lit(1)).alias("n"))

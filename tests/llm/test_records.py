@@ -257,8 +257,49 @@ def test_quota(spark):
     assert quota.drawn(df.where("false"), targets).count() == 0
 
 
+def fewest(sizes, capacity):
+    """Containers that are needed, by trying everything."""
+    best = len(sizes)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for i in sorted({r: i for i, r in enumerate(rooms) if r >= sizes[k]}.values()):
+            place(k + 1, [*rooms[:i], rooms[i] - sizes[k], *rooms[i + 1 :]])
+        place(k + 1, [*rooms, capacity - sizes[k]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=9))
+def test_bin_completion_is_exact_on_small_pools(sizes):
+    sizes = sorted(sizes, reverse=True)
+    b = packing.packed(np.array(sizes, np.int64), 20)
+    need = fewest(sizes, 20) if sizes else 0
+    assert len(set(b)) == need and all(sum(x for x, k in zip(sizes, b, strict=True) if k == n) <= 20 for n in set(b))
+    uniq, count = np.unique(-np.array(sizes, np.int64), return_counts=True)
+    assert not sizes or packing.lower_bound(-uniq, count, 20) <= need
+
+
+def test_dominated_fillings():
+    sizes, left = np.array([9, 7, 5, 4, 2]), np.array([0, 1, 0, 0, 0])
+    assert packing.dominated([2, 4], sizes, left, 0) and packing.dominated([2], sizes, left, 2) and not packing.dominated([2], sizes, left, 1)
+    assert packing.completions(np.array([9, 7, 5, 4, 2]), np.ones(5, int), 11)[0] == (0, [0, 4])
+
+
 def test_packing(spark):
     rng = np.random.default_rng(1)
+    worst = packing.packed(np.full(50, 60), 100)  # nothing shares a container
+    assert len(set(worst)) == 50
+    hard = spark.createDataFrame([(k, "x" * 60) for k in range(90)], "doc_id bigint, text string")
+    one = spark.createDataFrame([("p", 100)], "pack_id string, capacity_tokens int")
+    assert packing.containers(hard, one, pool=7).select("container").distinct().count() == 90
     sizes = rng.integers(1, 100, 500)
     b = packing.packed(sizes, 128)
     fill = np.bincount(b, weights=sizes)
