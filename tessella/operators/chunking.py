@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import written
+
 
 def list_chunks(df: DataFrame, group: str, order: str, line: Column, size: Column, budget: int = 600) -> DataFrame:
     """Items of a group as chunks: one if its sizes fit ``budget``, else parts of
@@ -18,15 +20,21 @@ def list_chunks(df: DataFrame, group: str, order: str, line: Column, size: Colum
     return t.groupBy(group, "part").agg(F.count(F.lit(1)).alias("items"), F.array_join(F.transform(rows, lambda r: r["_l"]), "\n").alias("content"))
 
 
+def placed(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """``df`` with each row's place in an order, from 1. Two levels: ranges are sorted and written
+    once, then counted and numbered from their offsets, so no single task orders the table."""
+    t = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id())
+    t = written(t, "ranges")  # sampled ranges may differ from run to run
+    t = t.withColumn("_inside", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    c = t.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    c = c.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
+    return t.join(F.broadcast(c.select("_range", "_before")), "_range").withColumn(name, F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before")
+
+
 def numbered(df: DataFrame, order: list[str], prefix: str, width: int = 4) -> DataFrame:
-    """Ids ``prefix_0001``... in an order. Two levels: ranges first, then inside each, so no
-    single task orders the table."""
-    t = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    t = t.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    c = t.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("_off", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
-    out = t.join(F.broadcast(c.select("_p", "_off")), "_p").withColumn("number", F.col("_k") + F.col("_off"))
-    return out.withColumn("id", F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(width), F.length(F.col("number").cast("string"))), "0"))).drop("_p", "_k", "_off", "number")
+    """Ids ``prefix_0001``... in an order."""
+    n = F.col("_n").cast("string")
+    return placed(df, order, "_n").withColumn("id", F.concat(F.lit(prefix), F.lpad(n, F.greatest(F.lit(width), F.length(n)), "0"))).drop("_n")
 
 
 def context_prefix(source_type: Column, title: Column, source: Column, names: dict[str, str]) -> Column:

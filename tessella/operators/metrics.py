@@ -157,15 +157,25 @@ def outer_summary(key: str, main: list[DataFrame], extra: list[DataFrame]) -> Da
     return out
 
 
-def fact_match(df: DataFrame, key: str, answer: str, facts: str) -> DataFrame:
-    """Share of a row's facts that its answer holds, NULL without facts. Phones and
-    prices compare digits, others normalised text; an empty fact counts and never matches."""
-    from tessella.operators.text import dedup_norm, digits, phone
-
-    f = df.select(key, F.col(answer).alias("_a"), F.explode_outer(facts).alias("_f"))
-    value = F.coalesce(F.col("_f.canonical_value"), F.lit(""))
-    kind = F.col("_f.fact_type")
-    want = F.when(kind == "phone", phone(value)).when(kind == "price", digits(value)).otherwise(dedup_norm(value))
-    have = F.when(kind.isin("phone", "price"), digits(F.coalesce(F.col("_a"), F.lit("")))).otherwise(dedup_norm(F.col("_a")))
-    hit = F.when(F.col("_f").isNotNull(), ((want != "") & F.contains(have, want)).cast("int"))
-    return f.groupBy(key).agg(F.count(hit).alias("facts"), F.round(F.avg(hit), 6).alias("fact_match"))
+def fact_match(df: DataFrame, answer: str, facts: str, *keys: str) -> DataFrame:
+    """``(*keys, facts, fact_match)``: share of a row's facts that its answer holds, NULL without facts.
+
+    Phones and prices compare digits on both sides; a schedule's days and hours must all be among the
+    answer's; names, addresses and other facts, normalised in their own way, must stand in the answer's words. A fact
+    that normalises to nothing counts and never matches."""
+    from tessella.operators.text import address, answer_words, digits, phone, schedule_tokens, surname
+
+    f = df.select(*keys, F.coalesce(F.col(answer), F.lit("")).alias("_a"), F.explode_outer(facts).alias("_f"))
+    value, kind, a = F.coalesce(F.col("_f.canonical_value"), F.lit("")), F.col("_f.fact_type"), F.col("_a")
+    held = lambda want, have: (want != "") & F.contains(have, want)
+    days = schedule_tokens(value)
+    hit = (
+        F.when(kind == "phone", held(phone(value), phone(a)))
+        .when(kind == "price", held(digits(value), digits(a)))
+        .when(kind == "schedule", (F.size(days) > 0) & (F.size(F.array_except(days, schedule_tokens(a))) == 0))
+        .when(kind == "fio", held(surname(value), answer_words(a)))
+        .when(kind == "address", held(address(value), answer_words(a)))
+        .otherwise(held(answer_words(value), answer_words(a)))
+    )
+    hit = F.when(F.col("_f").isNotNull(), hit.cast("int"))
+    return f.groupBy(*keys).agg(F.count(hit).alias("facts"), F.round(F.avg(hit), 6).alias("fact_match"))

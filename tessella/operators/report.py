@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,15 +43,30 @@ def composite(long: DataFrame, weights: dict[str, float], name: str = "mode") ->
     return m.withColumn("rank", F.rank().over(Window.orderBy(F.desc("score"))))  # a table of modes
 
 
-def gate(d: DataFrame, gains: dict[str, float], losses: dict[str, float], name: str = "mode") -> DataFrame:
-    """Verdict per mode over ``(name, metric, delta)``: ``stop`` if a loss reaches its limit, ``proceed``
-    if a gain does, else ``neutral``."""
-
-    def any_of(limits: dict[str, float], sign: int) -> Column:
-        return reduce(lambda a, b: a | b, [(F.col("metric") == m) & (sign * F.col("delta") >= t) for m, t in limits.items()], F.lit(False))
-
-    g = d.groupBy(name).agg(F.coalesce(F.bool_or(any_of(losses, -1)), F.lit(False)).alias("loss"), F.coalesce(F.bool_or(any_of(gains, 1)), F.lit(False)).alias("gain"))
-    return g.select(name, F.when(F.col("loss"), "stop").when(F.col("gain"), "proceed").otherwise("neutral").alias("verdict"))
+# Differences to the baseline from which a metric counts as gained or lost.
+GAINS = {"hit_rate": 0.02, "mrr": 0.01, "avg_fmr": 0.01}
+DROPS = {"hit_rate": -0.02, "mrr": -0.01, "avg_fmr": -0.03}
+
+
+def gate(deltas: DataFrame, focus: str, *by: str) -> DataFrame:
+    """``(*by, verdict, retrieval_gain, retrieval_drop, answer_gain, answer_drop)`` over ``(*by, strategy, metric, delta)``.
+
+    Only the ``focus`` strategy counts; NULL differences say nothing. A drop of retrieval (``hit_rate``,
+    ``mrr``) stops unless answers (``avg_fmr``) gained, which leaves it open; a drop of answers stops
+    unless retrieval gained; any gain without a drop of answers proceeds; all else is ``neutral``."""
+    f = F.when(F.col("strategy") == focus, F.col("delta"))
+    retrieval = F.col("metric").isin("hit_rate", "mrr")
+    limit = lambda d: F.try_element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("metric"))
+    said = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    g = deltas.groupBy(*by).agg(
+        said(retrieval & (f >= limit(GAINS))).alias("retrieval_gain"),
+        said(retrieval & (f <= limit(DROPS))).alias("retrieval_drop"),
+        said((F.col("metric") == "avg_fmr") & (f >= limit(GAINS))).alias("answer_gain"),
+        said((F.col("metric") == "avg_fmr") & (f < limit(DROPS))).alias("answer_drop"),
+    )
+    rg, rd, ag, ad = (F.col(c) for c in ("retrieval_gain", "retrieval_drop", "answer_gain", "answer_drop"))
+    verdict = F.when(rd & ~ag, "stop").when(rd, "neutral").when(ad & ~rg, "stop").when((rg | ag) & ~ad, "proceed").otherwise("neutral")
+    return g.select(*by, verdict.alias("verdict"), rg, rd, ag, ad)
 
 
 def group_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -64,3 +64,55 @@ def holdout(df: DataFrame, family: str, marked: Column) -> DataFrame:
     """Rows with ``held``: whole families move when one of their rows is marked."""
     hit = df.where(marked).select(F.col(family).alias("_f")).where("_f is not null").distinct()
     return df.join(hit.withColumn("_h", F.lit(True)), F.col(family) == F.col("_f"), "left").withColumn("held", F.coalesce("_h", F.lit(False))).drop("_f", "_h")
+
+
+def audit_sample(df: DataFrame, key: str, n: int, blank: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
+    """``n`` rows by draw, all if there are no more, with blank columns for the auditor."""
+    picked = df.withColumn("_l", lot(F.col(key), seed)).orderBy("_l", key).limit(n).drop("_l")
+    return picked.withColumns({b: F.lit("") for b in blank}) if blank else picked
+
+
+def balance(df: DataFrame, label: str, least: float = 0.05, *by: str) -> DataFrame:
+    """Rows and share of each label, and whether it falls under ``least``."""
+    c = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(*by))  # one row a label
+    return c.withColumn("share", F.round(share, 6)).withColumn("low", share < least)
+
+
+def safety_subset(df: DataFrame, label: Column, urgency: Column, risky: str = "anamnesis", urgent: tuple[str, ...] = ("urgent", "emergency")) -> DataFrame:
+    """Risky messages that are urgent."""
+    return df.where((label == risky) & F.lower(F.trim(F.coalesce(urgency, F.lit("")))).isin(*urgent))
+
+
+def split_pipeline(df: DataFrame, key: str, family: str, stratum: str, text: str, extended: Column, marked: Column, test: float = 0.2, val: float = 0.125, seed: int = 42) -> DataFrame:
+    """``(key, split)``: ``extended`` rows apart; families with a ``marked`` row to test; of the others a share of families to
+    test and, of what is left, to val, by stratum; then repeats of a text go, inside train and from any split that a better one holds
+    (test before val before train before extended). Rows of blank families stay in train."""
+    from tessella.operators.dedup import by_priority, first_of
+    from tessella.operators.text import dedup_norm
+    from tessella.session import written
+
+    ext = F.coalesce(extended, F.lit(False))
+    core = written(df.where(~ext), "core")
+    held = holdout(core, family, F.coalesce(marked, F.lit(False)))
+    rest = written(held.where(~F.col("held")).drop("held"), "rest")
+    a = family_split(rest, family, stratum, key, test, seed).select(F.col(family).alias("_f"), F.col("held").alias("_t"))
+    rest = rest.join(a, F.col(family) == F.col("_f"), "left").withColumn("_t", F.coalesce("_t", F.lit(False))).drop("_f")
+    left = written(rest.where(~F.col("_t")).drop("_t"), "left")
+    b = family_split(left, family, stratum, key, val, seed + 1).select(F.col(family).alias("_f"), F.col("held").alias("_v"))
+    left = left.join(b, F.col(family) == F.col("_f"), "left").withColumn("split", F.when(F.coalesce("_v", F.lit(False)), "val").otherwise("train"))
+    pick = lambda d, s: d.select(key, text, (F.lit(s) if isinstance(s, str) else s).alias("split"))
+    every = pick(held.where("held"), "test").union(pick(rest.where("_t"), "test")).union(pick(left, F.col("split"))).union(pick(df.where(ext), "extended"))
+    every = written(every, "dealt")
+    train = first_of(every.where("split = 'train'"), dedup_norm(F.col(text)), key)
+    every = every.where("split <> 'train'").unionByName(train)
+    place = F.array_position(F.array(*[F.lit(x) for x in ("test", "val", "train", "extended")]), F.col("split"))
+    return by_priority(every, dedup_norm(F.col(text)), place).select(key, "split")
+
+
+def leaks(split: DataFrame, df: DataFrame, key: str, family: str, marked: Column) -> DataFrame:
+    """``(kind, leaks)`` of a split: families in train and another split, marked rows in train. All 0 if it is sound."""
+    r = split.join(df.select(key, F.col(family).alias("_f"), F.coalesce(marked, F.lit(False)).alias("_m")), key)
+    per = r.where("split in ('train', 'test', 'val') and coalesce(_f, '') <> ''").groupBy("_f").agg(F.count_if(F.col("split") == "train").alias("a"), F.count_if(F.col("split") != "train").alias("b"))
+    fam = per.agg(F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("leaks")).select(F.lit("family").alias("kind"), "leaks")
+    return fam.union(r.agg(F.count_if((F.col("split") == "train") & F.col("_m")).alias("leaks")).select(F.lit("marked"), "leaks"))

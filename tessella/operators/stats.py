@@ -5,82 +5,11 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.metrics import ratio
-
-
-def draws(rep: Column, key: Column, seed: int = 42) -> Column:
-    """How often a family is drawn in a replicate: Poisson(1) by inverse of a hash-made
-    uniform, the limit of drawing families with replacement. The same on any engine with md5."""
-    u = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit("|"), rep.cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    out, acc = F.lit(8), sum(math.exp(-1) / math.factorial(k) for k in range(8))
-    for k in range(7, -1, -1):
-        out = F.when(u < round(acc, 12), F.lit(k)).otherwise(out)
-        acc -= math.exp(-1) / math.factorial(k)
-    return out
-
-
-def family_counts(df: DataFrame, family: Column, true: str, pred: str) -> DataFrame:
-    """Confusion counts per family: all a replicate needs; rows are read once."""
-    return df.groupBy(family.alias("family"), F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def bootstrap_accuracy(counts: DataFrame, reps: int, seed: int = 42) -> DataFrame:
-    """``(rep, accuracy)`` of family resamples. Families are multiplied by replicates, not rows."""
-    f = counts.groupBy("family").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("ok"))
-    r = f.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", draws(F.col("rep"), F.col("family"), seed))
-    return r.groupBy("rep").agg(ratio(F.sum(F.col("w") * F.col("ok")), F.sum(F.col("w") * F.col("n"))).alias("value"))
-
-
-def interval(reps: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval, linear between ranks; one row."""
-    return reps.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(alpha / 2)), 6).alias("low"), F.round(F.percentile("value", F.lit(1 - alpha / 2)), 6).alias("high"))
-
-
-def bca(counts: DataFrame, reps: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Bias-corrected and accelerated interval of the accuracy, one row ``(low, high)``: jackknife by totals less one family."""
-    boot = bootstrap_accuracy(counts, reps, seed)
-    f = counts.groupBy("family").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("ok"))
-    tot = f.agg(F.sum("n").alias("all_n"), F.sum("ok").alias("all_ok"))
-    jack = f.join(F.broadcast(tot)).select(ratio(F.col("all_ok") - F.col("ok"), F.col("all_n") - F.col("n")).alias("j"))
-    m = jack.agg(F.avg("j").alias("m"))
-    d = jack.join(F.broadcast(m)).select((F.col("m") - F.col("j")).alias("d")).agg(F.sum(F.pow("d", F.lit(3))).alias("d3"), F.sum(F.pow("d", F.lit(2))).alias("d2"))
-    point = tot.select(ratio(F.col("all_ok"), F.col("all_n")).alias("point"))
-    below = boot.join(F.broadcast(point)).agg(F.avg((F.col("value") < F.col("point")).cast("double")).alias("below"), F.array_sort(F.collect_list("value")).alias("values"))  # one value a replicate
-    one = below.join(d)
-
-    def run(parts):
-        for p in parts:
-            out = []
-            for r in p.itertuples():
-                v, nd = list(r.values) if r.values is not None else [], NormalDist()
-                if not v or r.below is None:
-                    continue
-                z0 = nd.inv_cdf(min(max(r.below, 0.5 / len(v)), 1 - 0.5 / len(v)))
-                a = r.d3 / (6 * r.d2**1.5) if r.d2 else 0.0
-                cut = []
-                for q in (alpha / 2, 1 - alpha / 2):
-                    z = z0 + nd.inv_cdf(q)
-                    x = nd.cdf(z0 + z / (1 - a * z)) * (len(v) - 1)
-                    lo = int(math.floor(x))
-                    cut.append(v[lo] + (v[min(lo + 1, len(v) - 1)] - v[lo]) * (x - lo))
-                out.append((round(cut[0], 6), round(cut[1], 6)))
-            yield pd.DataFrame(out, columns=["low", "high"])
-
-    return one.select("values", "below", "d3", "d2").mapInPandas(run, "low double, high double")
-
-
-def paired(df: DataFrame, family: Column, true: str, a: str, b: str, reps: int, seed: int = 42) -> DataFrame:
-    """Paired family bootstrap of accuracy(a) - accuracy(b): mean, 95 % interval, share of
-    replicates at or below 0; the same draws for both."""
-    f = df.groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col(a) == F.col(true)) - F.count_if(F.col(b) == F.col(true))).alias("d"))
-    r = f.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", draws(F.col("rep"), F.col("family"), seed))
-    v = r.groupBy("rep").agg(ratio(F.sum(F.col("w") * F.col("d")), F.sum(F.col("w") * F.col("n"))).alias("value"))
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    return v.agg(F.round(F.avg("value"), 6).alias("delta"), p(0.025).alias("low"), p(0.975).alias("high"), F.round(F.avg((F.col("value") <= 0).cast("int")), 6).alias("p_value"))
+from tessella.session import written
 
 
 def discordant(df: DataFrame, true: str, a: str, b: str) -> DataFrame:
@@ -104,36 +33,83 @@ def average_rank(order: Column, *partition: str) -> Column:
     return F.rank().over(w.orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, order)) - 1) / 2
 
 
-def signed_ranks(df: DataFrame, diff: str) -> DataFrame:
-    """``(n, w_plus, w_minus)`` of the non-zero differences. Ranks come from counts per
-    distinct absolute value, so the ordered window is over values, not rows."""
-    d = df.where(F.col(diff) != 0).groupBy(F.abs(diff).alias("v")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(diff) > 0).alias("pos"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("r", F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2)
-    return d.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("r") * F.col("pos")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("r") * (F.col("c") - F.col("pos"))), F.lit(0.0)).alias("w_minus"))
-
-
-def wilcoxon_p(n: int, w: float) -> float:
-    """Normal two-sided p of a signed-rank sum (no tie correction), exact counting up to 25."""
+def signed_ranks(df: DataFrame, diff: str, *keys: str) -> DataFrame:
+    """``(*keys, n, w_plus, w_minus, ties)`` of the non-zero differences; ``ties`` is the sum of t^3 - t over
+    groups of equal size. Ranks come from counts per distinct absolute value, and those from sorted ranges
+    numbered from their offsets, so no task orders all values."""
+    d = df.where(F.col(diff) != 0).groupBy(*keys, F.abs(diff).alias("v")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(diff) > 0).alias("pos"))
+    d = written(d.repartitionByRange(*[F.col(k) for k in keys], F.col("v")).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    part = d.groupBy(*keys, "_p").agg(F.sum("c").alias("_n"))
+    part = part.withColumn("_off", F.coalesce(F.sum("_n").over(before(Window.partitionBy(*keys).orderBy("_p"))), F.lit(0))).drop("_n")  # one row a range
+    inside = F.coalesce(F.sum("c").over(before(Window.partitionBy(*keys, "_p").orderBy("v"))), F.lit(0))
+    d = d.withColumn("_in", inside).join(F.broadcast(part), [*keys, "_p"])
+    d = d.withColumn("r", F.col("_off") + F.col("_in") + (F.col("c") + 1) / 2)
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return d.groupBy(*keys).agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), some(F.col("r") * F.col("pos")).alias("w_plus"), some(F.col("r") * (F.col("c") - F.col("pos"))).alias("w_minus"),
+        F.coalesce(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")), F.lit(0)).alias("ties"),
+    )
+
+
+def wilcoxon_z(n: Column, w_plus: Column, w_minus: Column, ties: Column) -> Column:
+    """Normal deviate of a signed-rank sum, ties corrected; NULL without differences."""
+    se = F.sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
+    return F.when((n > 0) & (se > 0), (F.least(w_plus, w_minus) - n * (n + 1) / 4) / se)
+
+
+def wilcoxon_p(n: int, w: float, ties: float = 0.0, exact: bool | None = None) -> float:
+    """Two-sided p of a signed-rank sum: counted exactly up to 50 differences without ties
+    (``exact`` says otherwise), else normal with ties corrected; 1 without differences."""
     if n == 0:
         return 1.0
-    if n <= 25 and float(w).is_integer():
+    if exact if exact is not None else n <= 50 and not ties:
         ways = [1] + [0] * (n * (n + 1) // 2)
         for k in range(1, n + 1):
             for s in range(len(ways) - 1, k - 1, -1):
                 ways[s] += ways[s - k]
         low = int(min(w, n * (n + 1) / 2 - w))
         return min(1.0, 2 * sum(ways[: low + 1]) / 2**n)
-    z = (min(w, n * (n + 1) / 2 - w) - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    var = (n * (n + 1) * (2 * n + 1) - ties / 2) / 24
+    if var <= 0:
+        return 1.0
+    z = (min(w, n * (n + 1) / 2 - w) - n * (n + 1) / 4) / math.sqrt(var)
     return min(1.0, 2 * NormalDist().cdf(z))
 
 
+def chi2_tail(x: float, k: int) -> float:
+    """P(chi-square with ``k`` degrees of freedom >= x), by the recurrence over k."""
+    if x <= 0 or k < 1:
+        return 1.0
+    tail, term = (math.exp(-x / 2), math.exp(-x / 2)) if k % 2 == 0 else (math.erfc(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2))
+    if k % 2 == 0:
+        for j in range(1, k // 2):
+            term *= x / 2 / j
+            tail += term
+    else:
+        for j in range(1, (k - 1) // 2 + 1):
+            tail += term
+            term *= x / (2 * j + 1)
+    return min(1.0, tail)
+
+
 def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
-    """``(blocks, treatments, chi2)`` of ranks within blocks; ties at their mean, no tie correction."""
+    """``(blocks, treatments, chi2, p_value)`` of ranks within blocks, ties at their mean and corrected;
+    fewer than three blocks, or all tied, give 0 and 1."""
     r = df.withColumn("r", average_rank(F.col(value), block))
+    tied = r.groupBy(block, value).agg(F.count(F.lit(1)).alias("t")).agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0)).alias("ties"))
     s = r.groupBy(treatment).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n"))
-    k, n = F.count(F.lit(1)), F.max("n")
-    return s.agg(n.alias("blocks"), k.alias("treatments"), F.round(12 / (n * k * (k + 1)) * F.sum(F.col("s") * F.col("s")) - 3 * n * (k + 1), 6).alias("chi2"))
+    k, n = F.col("treatments"), F.col("blocks")
+    one = s.agg(F.coalesce(F.max("n"), F.lit(0)).alias("blocks"), F.count(F.lit(1)).alias("treatments"), F.sum(F.col("s") * F.col("s")).alias("s2")).join(tied)
+    c = 1 - F.col("ties") / (k * (k * k - 1) * n)
+    chi2 = F.when((n >= 3) & (k >= 2) & (c > 0), (12 / (n * k * (k + 1)) * F.col("s2") - 3 * n * (k + 1)) / c).otherwise(0.0)
+    one = one.select("blocks", "treatments", F.round(chi2, 6).alias("chi2"))
+
+    def tail(parts):
+        for p in parts:
+            yield p.assign(p_value=[round(chi2_tail(x, int(t) - 1), 9) for x, t in zip(p["chi2"], p["treatments"], strict=True)])
+
+    return one.mapInPandas(tail, "blocks bigint, treatments bigint, chi2 double, p_value double")
 
 
 def cohens_d(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
@@ -151,3 +127,51 @@ def holm(df: DataFrame, p: str, *keys: str) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy())
     x = F.least(F.lit(1.0), F.col(p) * (n - F.row_number().over(w) + 1))
     return df.withColumn("_x", x).withColumn("p_holm", F.round(F.max("_x").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), 9)).drop("_x")
+
+
+def paired_analysis(long: DataFrame, key: str, name: str, value: str, pairs: list[tuple[str, str]], alpha: float = 0.05) -> DataFrame:
+    """Wilcoxon, Holm and Cohen's d of each stated pair of names over the keys both have: ``(a, b, n, mean_a, mean_b, diff,
+    p_value, p_holm, effect_d, significant)``. Pairs with fewer than three common keys are left out."""
+    spark = long.sparkSession
+    table = spark.createDataFrame(pairs, "a string, b string")
+    side = lambda n, v: long.select(key, F.col(name).alias(n), F.col(value).cast("double").alias(v))
+    rows = F.broadcast(table).join(side("a", "x"), "a").join(side("b", "y"), [key, "b"]).withColumn("d", F.col("x") - F.col("y"))
+    g = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{m}_{c}") for c in ("x", "y") for m, f in (("mean", F.avg), ("var", F.var_samp))])
+    r = signed_ranks(rows, "d", "a", "b").select("a", "b", F.col("n").alias("m"), "w_plus", "w_minus", "ties")
+    out = []
+    for t in g.where("n >= 3").join(r, ["a", "b"], "left").collect():  # one row a stated pair
+        p = wilcoxon_p(t["m"] or 0, min(t["w_plus"] or 0, t["w_minus"] or 0), t["ties"] or 0, None if t["m"] == t["n"] else False)
+        sd = math.sqrt((t["var_x"] + t["var_y"]) / 2)  # the same number of keys on both sides
+        out.append((t["a"], t["b"], t["n"], t["mean_x"], t["mean_y"], t["mean_x"] - t["mean_y"], p, (t["mean_x"] - t["mean_y"]) / sd if sd else 0.0))
+    df = spark.createDataFrame(out, "a string, b string, n bigint, mean_a double, mean_b double, diff double, p_value double, effect_d double")
+    return holm(df, "p_value", "a", "b").withColumn("significant", F.col("p_holm") < alpha)
+
+
+def significance(long: DataFrame, key: str, mode: str, metric: str, value: str, modes: list[str], base: str, binary: tuple[str, ...], reps: int = 2000) -> DataFrame:
+    """``(metric, mode, n, mean, low, high, diff, diff_low, diff_high, p_value, test, significant)`` of each mode against ``base``.
+
+    Keys are those that all modes have. ``binary`` metrics are tested by McNemar, others by Wilcoxon; intervals are of
+    2.5 to 97.5 % of replicates. The base has no difference and no p value."""
+    from tessella.operators.resampling import aligned, mean_bootstrap
+
+    spark, rows = long.sparkSession, []
+    for m in sorted(r[0] for r in long.select(metric).distinct().collect()):  # one a metric
+        part = written(aligned(long.where(F.col(metric) == m), key, mode, modes).select(key, mode, F.col(value).cast("double").alias("v")), "aligned")
+        boot = mean_bootstrap(part, key, mode, "v", modes, reps)
+        b = part.where(F.col(mode) == base).select(key, F.col("v").alias("b"))
+        pairs = part.join(b, key).withColumn("d", F.col("v") - F.col("b"))
+        n = part.where(F.col(mode) == base).count()
+        if m in binary:
+            t = {r[mode]: (r["x"], r["y"]) for r in pairs.groupBy(mode).agg(F.count_if(F.col("d") > 0).alias("x"), F.count_if(F.col("d") < 0).alias("y")).collect()}
+            p = {k: mcnemar_p(*v) for k, v in t.items()}
+        else:
+            p = {r[mode]: wilcoxon_p(r["n"], min(r["w_plus"], r["w_minus"]), r["ties"], None if r["n"] == n else False) for r in signed_ranks(pairs, "d", mode).collect()}
+        for k in modes:
+            v = boot[k]
+            low, high = np.quantile(v[1:], [0.025, 0.975])
+            d = v - boot[base]
+            dl, dh = np.quantile(d[1:], [0.025, 0.975]) if k != base else (0.0, 0.0)
+            test = "bootstrap" if k == base else "mcnemar" if m in binary else "wilcoxon"
+            rows.append((m, k, n, *(round(float(x), 6) for x in (v[0], low, high, d[0], dl, dh)), None if k == base else round(p.get(k, 1.0), 9), test, bool(k != base and (dl > 0 or dh < 0))))
+    kinds = "metric string, mode string, n bigint, mean double, low double, high double, diff double, diff_low double, diff_high double, p_value double, test string, significant boolean"
+    return spark.createDataFrame(rows, kinds)

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Day names and their short forms, to which a schedule's words are mapped.
+# Day words of a schedule and what each stands for.
 DAYS = {
-    "понедельник": "пн", "вторник": "вт", "среда": "ср", "четверг": "чт", "пятница": "пт", "суббота": "сб", "воскресенье": "вс",
-    "пн": "пн", "вт": "вт", "ср": "ср", "чт": "чт", "пт": "пт", "сб": "сб", "вс": "вс",
+    "пн": ("пн",), "вт": ("вт",), "ср": ("ср",), "чт": ("чт",), "пт": ("пт",), "сб": ("сб",), "вс": ("вс",), "ежедневно": ("ежедневно",),
+    "будни": ("пн", "пт"), "будням": ("пн", "пт"), "будних": ("пн", "пт"), "выходные": ("сб", "вс"), "выходных": ("сб", "вс"), "выходным": ("сб", "вс"),
 }
 # Street words dropped from addresses when dotted.
-STREET_WORDS = ("ул", "пр", "просп", "пер", "г", "д", "кв", "корп", "стр")
+STREET_WORDS = ("г", "ул", "д", "пр", "пер", "корп", "стр")
+#: Blanks of any width.
+BLANK = r"[\s\p{Z}]"
+_ANY_CASE = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("лет", "год", "час", "мес", "руб"))
 # Claim families, in order; a string may be found by several.
 CLAIMS = (
-    ("price", r"[0-9][0-9 ]{2,}(?:руб|₽)"),
-    ("phone", r"[+]?[78][ (-]?[0-9]{3}[ )-]?[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{2}"),
-    ("time", r"[0-9]{1,2}:[0-9]{2}"),
-    ("date", r"[0-9]{1,2} (?:января|февраля|марта|апреля|мая|июня|июля|августа|сентября|октября|ноября|декабря)"),
-    ("url", r"www[.][a-z0-9./-]+"),
-    ("dose", r"[0-9]+(?:[.,][0-9]+)? (?:мг|мл|mg|ml)"),
+    ("phone", r"[+]?[0-9][0-9\s\p{Z}()-]{6,}"),
+    ("email", r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+[.][\p{L}\p{N}_.-]+"),
+    ("url", r"https?://[^\s\p{Z}]+"),
+    ("name", rf"[А-ЯЁ][а-яё]+{BLANK}+[А-ЯЁ][а-яё]+{BLANK}+[А-ЯЁ][а-яё]+"),
+    ("price", rf"(?:от{BLANK}+)?[0-9][0-9\s\p{{Z}}]*[0-9]{BLANK}*₽"),
+    ("number", rf"[0-9]+{BLANK}*(?:{_ANY_CASE}|%)"),
 )
 
 
@@ -46,7 +53,12 @@ def just_lower(c: Column) -> Column:
 
 def squeezed(c: Column) -> Column:
     """Trimmed, lower case, runs of blanks to one."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"{BLANK}+", " "))
+
+
+def answer_words(c: Column) -> Column:
+    """Lower case, what is no letter, digit or underscore to blanks, runs of blanks to one."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
 
 
 def phone(c: Column) -> Column:
@@ -67,18 +79,17 @@ def surname(c: Column) -> Column:
 
 def address(c: Column) -> Column:
     """Dotted street words dropped, commas and stops to blanks."""
-    x = F.lower(F.trim(c))
-    x = F.regexp_replace(x, rf"(^|[^а-яёa-z])(?:{'|'.join(STREET_WORDS)})[.]\s*", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[,.]", " "), r"\s+", " "))
+    x = F.regexp_replace(F.lower(c), rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(STREET_WORDS)})[.]{BLANK}*", "")
+    return F.trim(F.regexp_replace(x, r"[,.\s\p{Z}]+", " "))
 
 
 def schedule_tokens(c: Column) -> Column:
-    """Days (distinct, first) and hours (repeats kept) of a timetable text."""
+    """Days (distinct, first; working days and weekends by their ends) and hours (repeats kept) of a timetable text."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(r"([а-яё]+)"))
-    names = F.create_map(*[F.lit(x) for kv in DAYS.items() for x in kv])
-    days = F.array_distinct(F.filter(F.transform(words, lambda w: F.try_element_at(names, w)), lambda x: x.isNotNull()))
-    hours = F.regexp_extract_all(low, F.lit(r"([0-9]{1,2})(?::00)?"), F.lit(1))
+    names = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(y) for y in x]) for kv in DAYS.items() for x in kv])
+    words = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"))
+    days = F.array_distinct(F.flatten(F.filter(F.transform(words, lambda w: F.try_element_at(names, w)), lambda x: x.isNotNull())))
+    hours = F.regexp_extract_all(low, F.lit(r"(?<![\p{L}\p{N}_])([0-9]{1,2})(?::00)?(?![\p{L}\p{N}_])"), F.lit(1))
     bare = F.transform(hours, lambda h: F.coalesce(F.nullif(F.regexp_replace(h, "^0+", ""), F.lit("")), F.lit("0")))
     return F.concat(days, bare)
 
@@ -98,8 +109,8 @@ def slug(c: Column) -> Column:
 
 def claims(df: DataFrame, text: str = "text") -> DataFrame:
     """One row a claim: ``(family, claim)`` beside the other columns; overlaps count in every family."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    per = [F.transform(F.regexp_extract_all(low, F.lit(f"({rx})")), _family(name)) for name, rx in CLAIMS]
+    raw = F.coalesce(F.col(text), F.lit(""))
+    per = [F.transform(F.regexp_extract_all(raw, F.lit(f"({rx})")), _family(name)) for name, rx in CLAIMS]
     return df.withColumn("_c", F.explode(F.concat(*per))).withColumn("family", F.col("_c.family")).withColumn("claim", F.trim(F.col("_c.claim"))).drop("_c")
 
 
@@ -138,3 +149,83 @@ def sections(df: DataFrame, headers: dict[str, str], keys: list[str], text: str
     end = F.coalesce(F.get(F.col("_h"), F.col("section_no") + 1)["at"], F.length("_t") + 1)
     start = F.col("_s.at") + F.col("_s.size")
     return df.select(*keys, "section_no", F.col("_s.section").alias("section"), F.trim(F.substring(F.col("_t"), start, F.greatest(end - start, F.lit(0)))).alias("body"))
+
+
+def label_of(c: Column, vocabulary: list[str]) -> Column:
+    """The word of ``vocabulary`` (plain letters, four or more) that a loosely written label means, else NULL: case, blanks and
+    punctuation don't count, and one wrong, lost, added or swapped letter still means a word if that fits only one of them."""
+    x = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "")
+    letters = F.array_sort(F.split(x, ""))
+
+    def near(k: str) -> Column:
+        swapped = (F.length(x) == len(k)) & (letters == F.array(*[F.lit(y) for y in sorted(k)])) & (F.levenshtein(x, F.lit(k)) <= 2)
+        return (F.levenshtein(x, F.lit(k)) <= 1) | swapped
+
+    fits = F.filter(F.array(*[F.when(near(k), F.lit(k)) for k in vocabulary]), lambda v: v.isNotNull())
+    return F.when(x == "", None).when(x.isin(*vocabulary), x).when(F.size(fits) == 1, F.get(fits, F.lit(0)))
+
+
+# Leftovers of paper forms, removed in this order.
+JUNK = (
+    r"Дата\s*«[_\s]+»[_\s]*2[0-9]{2}__?г\.?",
+    r"Подпись\s+(?:пациента|врача|родителя|заказчика|законного).*?\(подпись,?\s*ФИО\)?",
+    r"Второй\s+экземпляр\s+получил.*",
+    r"Памятку\s+получил\(а\).*",
+    r"Мною\s+заданы\s+все\s+интересующие.*?осложнений\.?",
+    r"Я\s+обязуюсь\s+соблюдать.*?осложнений\.?",
+    r"Повторное\s+проведение.*?рекомендовано:.*",
+    r"_{4,}",
+    r"^[0-9]+\.\s*Другое:\s*$",
+)
+#: What follows: pattern and replacement, in order.
+_TIDY = ((r"\t", " "), (r"[○●■]\s*", "• "), (r"([0-9]+\.)\s{2,}", "$1 "), (r"\n{3,}", "\n\n"), (r"^\.\s*\n", ""))
+
+
+def cleaned(c: Column) -> Column:
+    """Text of a scanned form without its junk: tabs and bullets made one, gaps of lists and blank lines closed up, ends trimmed."""
+    x = F.coalesce(c, F.lit(""))
+    for junk in JUNK:
+        x = F.regexp_replace(x, f"(?ms){junk}", "")
+    for pattern, new in _TIDY:
+        x = F.regexp_replace(x, pattern, new)
+    return F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+
+def spoken(value: str | None) -> str:
+    """A JSON value as readable lines: ``key: value``, nested objects below their key, lists as dashes. What is no JSON stays as it is."""
+
+    def lines(v: object, indent: int = 0) -> str:
+        pad = "  " * indent
+        if isinstance(v, dict):
+            inner = [(k, lines(x, indent + 1)) for k, x in v.items()]
+            return "\n".join(f"{pad}{k}:\n{x}" if "\n" in x else f"{pad}{k}: {x}" for k, x in inner)
+        if isinstance(v, list):
+            return "\n".join(f"{pad}- {lines(x)}" for x in v)
+        return str(v)
+
+    if value is None:
+        return ""
+    try:
+        return lines(json.loads(value))
+    except ValueError:
+        return value
+
+
+@F.pandas_udf(T.StringType())
+def _spoken(v: pd.Series) -> pd.Series:
+    return v.map(spoken)
+
+
+def with_spoken(df: DataFrame, json_column: str, out: str = "spoken") -> DataFrame:
+    """``df`` with nested JSON values as text (see :func:`spoken`), batch by batch: recursion has no expression."""
+    return df.withColumn(out, _spoken(F.col(json_column)))
+
+
+def resolved(queries: DataFrame, names: DataFrame, key: str, text: str, name: str, stem: int = 4) -> DataFrame:
+    """``(key, name)``: names whose first word shares its first ``stem`` letters with a word of the text, whatever the ending; shorter
+    ones never match. A join on stems: names are never compared with texts one by one."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([а-яё]+)"))
+    w = queries.select(key, F.explode(F.array_distinct(F.transform(F.filter(words, lambda x: F.length(x) >= stem), lambda x: F.substring(x, 1, stem)))).alias("_s"))
+    first = F.lower(F.element_at(F.split(F.trim(F.col(name)), r"\s+"), 1))
+    n = names.select(name, first.alias("_f")).distinct().where(F.length("_f") >= stem).select(name, F.substring("_f", 1, stem).alias("_s"))
+    return w.join(n, "_s").select(key, name).distinct()

@@ -6,22 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import metrics as m
-from tessella.operators import report, rules, stats
+from tessella.operators import report, resampling, rules, stats
+from tessella.operators import text as tx
 from tessella.plans.registry import plan, t
 from tessella.plans.text_plans import NORM, ROUTES_SQL
 
 CLASSES = ["anamnesis", "booking", "faq", "unsupported"]
-GRID = [0.3, 0.5, 0.6, 0.7, 0.8]
-_T = "lower(trim(coalesce(route_domain, '')))"
-_P = f"(SELECT row_no, seed_id, lower(trim(coalesce(urgency, ''))) AS urgency, lower(trim(coalesce(source, ''))) AS source, subtype, {_T} AS t, route AS p, confidence AS c, (CASE WHEN h_booking > 0 THEN 'booking' ELSE route END) AS p2 FROM {ROUTES_SQL} WHERE {_T} IN ('anamnesis', 'booking', 'faq', 'unsupported'))"
+#: 0.3, 0.31, ... 0.99
+GRID = [round(0.3 + 0.01 * k, 2) for k in range(70)]
+_X = "regexp_replace(lower(coalesce(route_domain, '')), '[^\\p{L}\\p{N}]+', '', 'g')"
+_NEAR = {k: f"(levenshtein(x, '{k}') <= 1 OR (length(x) = {len(k)} AND list_sort(string_split(x, '')) = [{', '.join(repr(c) for c in sorted(k))}] AND levenshtein(x, '{k}') <= 2))" for k in CLASSES}
+_T = "CASE WHEN x = '' THEN NULL WHEN x IN (" + ", ".join(f"'{k}'" for k in CLASSES) + ") THEN x WHEN " + " + ".join(f"{c}::INT" for c in _NEAR.values()) + " = 1 THEN CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, c in _NEAR.items()) + " END END"
+_P = f"""(SELECT row_no, text, seed_id, lower(trim(coalesce(urgency, ''))) AS urgency, lower(trim(coalesce(source, ''))) AS source, lower(trim(coalesce(subtype, ''))) AS subtype, t, route AS p, confidence AS c, (CASE WHEN h_booking > 0 THEN 'booking' ELSE route END) AS p2
+FROM (SELECT *, {_T} AS t FROM (SELECT *, {_X} AS x FROM {ROUTES_SQL})) WHERE t IS NOT NULL)"""
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    h = t(spark, d, "d1_v6_hard_test").withColumn("t", F.lower(F.trim(F.coalesce("route_domain", F.lit("")))))
-    h = h.where(F.col("t").isin(*CLASSES)).withColumn("r", rules.routed(F.col("text")))
+    """Rule routes of every message whose label, however written, is one of the classes; others have no label to be held to."""
+    h = t(spark, d, "d1_v6_hard_test").repartition(spark.sparkContext.defaultParallelism).withColumn("t", tx.label_of(F.col("route_domain"), CLASSES))
+    h = h.where(F.col("t").isNotNull()).withColumn("r", rules.routed(F.col("text")))
     second = rules.routed(F.col("text"), {"booking": rules.ROUTES["booking"]} | {k: v for k, v in rules.ROUTES.items() if k != "booking"})["route"]
     low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return h.select("row_no", "seed_id", low("urgency").alias("urgency"), low("source").alias("source"), "subtype", "t", F.col("r.route").alias("p"), F.col("r.confidence").alias("c"), second.alias("p2"))
+    return h.select("row_no", "text", "seed_id", low("urgency").alias("urgency"), low("source").alias("source"), low("subtype").alias("subtype"), "t", F.col("r.route").alias("p"), F.col("r.confidence").alias("c"), second.alias("p2"))
 
 
 @plan(f"SELECT t AS \"true\", p AS pred, count(*) AS n FROM {_P} GROUP BY ALL")
@@ -97,16 +103,30 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @plan(f"SELECT * FROM {_SWEEP} a WHERE NOT EXISTS (SELECT 1 FROM {_SWEEP} b WHERE b.recall >= a.recall AND b.false_harmless <= a.false_harmless AND (b.recall > a.recall OR b.false_harmless < a.false_harmless))")
 def pareto_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    return m.pareto(threshold_sweep(spark, d), "recall", "false_harmless", top=10)
-
-
-_RULES = (("urgent_missed", "t = 'anamnesis' AND p <> 'anamnesis' AND urgency = 'urgent'"), ("faq_confused", "t = 'anamnesis' AND p = 'faq'"), ("booking_confused", "p = 'booking'"), ("models_disagree", "p <> p2"))
+    return m.pareto(threshold_sweep(spark, d), "recall", "false_harmless", top=len(GRID))
+
+
+# Subtypes that tell what an error is about.
+_AFTER, _SPECIAL = ("faq_borderline", "procedure_info"), ("booking_with_spec", "booking_with_doctor", "doctor_info")
+_RULES = (
+    ("anamnesis_to_faq", "t = 'anamnesis' AND p = 'faq'"),
+    ("anamnesis_to_booking", "t = 'anamnesis' AND p = 'booking'"),
+    ("faq_to_anamnesis", "t = 'faq' AND p = 'anamnesis'"),
+    ("mixed_intent_error", "subtype LIKE '%mixed_intent%'"),
+    ("post_treatment_ambiguity", f"subtype IN {_AFTER}"),
+    ("specialization_confusion", f"subtype IN {_SPECIAL}"),
+    ("vague_short_error", "words <= 3"),
+    ("both_wrong", "p <> t AND p2 <> t"),
+    ("models_disagree_both_wrong", "p <> t AND p2 <> t AND p <> p2"),
+)
+_WORDS = "len(regexp_extract_all(lower(coalesce(text, '')), '[a-zа-яё0-9]+'))"
 _TAGS = " UNION ALL ".join(f"SELECT row_no, '{n}' AS error_type FROM w WHERE {c}" for n, c in _RULES)
-_TAX = f"(WITH w AS (SELECT * FROM {_P} WHERE t <> p OR t <> p2), g AS ({_TAGS}) SELECT * FROM g UNION ALL SELECT row_no, 'generic_error' FROM w WHERE row_no NOT IN (SELECT row_no FROM g))"
+_TAX = f"(WITH w AS (SELECT *, {_WORDS} AS words FROM {_P} WHERE t <> p OR t <> p2), g AS ({_TAGS}) SELECT * FROM g UNION ALL SELECT row_no, 'generic_error' FROM w WHERE row_no NOT IN (SELECT row_no FROM g))"
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    return m.taxonomy(predictions(spark, d), [(n, F.expr(c)) for n, c in _RULES], F.expr("t <> p OR t <> p2"))
+    p = predictions(spark, d).withColumn("words", F.size(tx.tokens(F.col("text"))))
+    return m.taxonomy(p, [(n, F.expr(c)) for n, c in _RULES], F.expr("t <> p OR t <> p2"))
 
 
 @plan(f"SELECT row_no, error_type FROM {_TAX}")
@@ -119,25 +139,6 @@ def taxonomy_summary(spark: SparkSession, d: str) -> DataFrame:
     return m.taxonomy_summary(_tagged(spark, d), "row_no")
 
 
-_VAL = "coalesce(f.canonical_value, '')"
-_FACT = f"""(WITH f AS (SELECT sample_id, expected_answer AS a, unnest(gold_facts) AS f FROM eval_sample),
-v AS (SELECT sample_id, CASE WHEN f.fact_type IN ('phone', 'price') THEN regexp_replace(coalesce(a, ''), '[^0-9]', '', 'g') ELSE {NORM.format('a')} END AS have,
-regexp_replace({_VAL}, '[^0-9]', '', 'g') AS dg, {NORM.format(_VAL)} AS nv, f.fact_type AS k FROM f),
-h AS (SELECT sample_id, have, CASE k WHEN 'phone' THEN CASE WHEN length(dg) = 11 AND dg LIKE '8%' THEN '7' || substr(dg, 2, 10) ELSE dg END WHEN 'price' THEN dg ELSE nv END AS want FROM v)
-SELECT e.sample_id, count(h.want) AS facts, round(avg((h.want <> '' AND contains(h.have, h.want))::INT), 6) AS fact_match FROM eval_sample e LEFT JOIN h USING (sample_id) GROUP BY 1)"""
-
-
-@plan(f"SELECT * FROM {_FACT}")
-def fact_match_rate(spark: SparkSession, d: str) -> DataFrame:
-    return m.fact_match(t(spark, d, "eval_sample"), "sample_id", "expected_answer", "gold_facts")
-
-
-@plan(f"SELECT category, count(*) AS n, round(avg(fact_match), 6) AS fact_match, count(fact_match) AS with_facts FROM {_FACT} JOIN eval_sample USING (sample_id) GROUP BY category")
-def answer_checks_by_category(spark: SparkSession, d: str) -> DataFrame:
-    f = fact_match_rate(spark, d).join(t(spark, d, "eval_sample").select("sample_id", "category"), "sample_id")
-    return f.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fact_match"), 6).alias("fact_match"), F.count("fact_match").alias("with_facts"))
-
-
 _SYS = "(SELECT user_id, count(*) AS n, round(coalesce(quantile_cont(value, 0.5) FILTER (WHERE event_type <> 'error'), 0), 6) AS p50, round(coalesce(quantile_cont(value, 0.95) FILTER (WHERE event_type <> 'error'), 0), 6) AS p95, round(avg((event_type = 'error')::INT), 6) AS fail_rate FROM events GROUP BY user_id)"
 
 
@@ -193,10 +194,17 @@ def composite_rank(spark: SparkSession, d: str) -> DataFrame:
     return report.composite(long_metrics(spark, d).where("strategy = 'anamnesis'"), {"accuracy": 0.7, "confidence": 0.3})
 
 
-@plan(f"""SELECT mode, CASE WHEN coalesce(bool_or(metric = 'error' AND delta <= -0.2), false) THEN 'stop' WHEN coalesce(bool_or(metric = 'accuracy' AND delta >= 0.02), false) THEN 'proceed' ELSE 'neutral' END AS verdict
-FROM (SELECT *, round(value - max(CASE WHEN mode = 'seed' THEN value END) OVER (PARTITION BY strategy, metric), 6) AS delta FROM {_LONG}) GROUP BY mode""")
+_GATE = f"""(SELECT *, CASE metric WHEN 'accuracy' THEN 'hit_rate' WHEN 'confidence' THEN 'mrr' ELSE 'avg_fmr' END AS m, round(value - max(CASE WHEN mode = 'seed' THEN value END) OVER (PARTITION BY strategy, metric), 6) AS dl FROM {_LONG})"""
+
+
+@plan(f"""WITH g AS (SELECT mode, coalesce(bool_or((m = 'hit_rate' AND dl >= 0.02) OR (m = 'mrr' AND dl >= 0.01)), false) AS retrieval_gain, coalesce(bool_or((m = 'hit_rate' AND dl <= -0.02) OR (m = 'mrr' AND dl <= -0.01)), false) AS retrieval_drop,
+coalesce(bool_or(m = 'avg_fmr' AND dl >= 0.01), false) AS answer_gain, coalesce(bool_or(m = 'avg_fmr' AND dl < -0.03), false) AS answer_drop FROM (SELECT mode, m, CASE WHEN strategy = 'anamnesis' THEN dl END AS dl FROM {_GATE}) GROUP BY mode)
+SELECT mode, CASE WHEN retrieval_drop THEN CASE WHEN answer_gain THEN 'neutral' ELSE 'stop' END WHEN answer_drop THEN CASE WHEN retrieval_gain THEN 'neutral' ELSE 'stop' END WHEN retrieval_gain OR answer_gain THEN 'proceed' ELSE 'neutral' END AS verdict,
+retrieval_gain, retrieval_drop, answer_gain, answer_drop FROM g""")
 def decision_gate(spark: SparkSession, d: str) -> DataFrame:
-    return report.gate(metric_deltas(spark, d), {"accuracy": 0.02}, {"error": 0.2})
+    """Accuracy, confidence and error of one class stand in for hit rate, MRR and fact match."""
+    name = F.when(F.col("metric") == "accuracy", "hit_rate").when(F.col("metric") == "confidence", "mrr").otherwise("avg_fmr")
+    return report.gate(metric_deltas(spark, d).withColumn("metric", name), "anamnesis", "mode")
 
 
 @plan(f"SELECT l.*, round(avg(value) OVER w, 6) AS group_mean, round(stddev_samp(value) OVER w, 6) AS group_std, count(*) OVER w AS n_runs FROM {_LONG} l WINDOW w AS (PARTITION BY strategy, metric)")
@@ -216,45 +224,44 @@ def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FAM = "coalesce(nullif(trim(seed_id), ''), 'row_' || row_no)"
-_U = "(('0x' || substr(md5(family || '|' || rep || '|42'), 1, 8))::BIGINT / 4294967296.0)"
-
-
-def _draw_sql() -> str:
-    import math
-
-    acc, parts = 0.0, []
-    for k in range(8):
-        acc += math.exp(-1) / math.factorial(k)
-        parts.append((k, acc))
-    total = sum(math.exp(-1) / math.factorial(k) for k in range(8))
-    cuts, a = [], total
-    for k in range(7, -1, -1):
-        cuts.append((k, round(a, 12)))
-        a -= math.exp(-1) / math.factorial(k)
-    return "CASE " + " ".join(f"WHEN {_U} < {c!r} THEN {k}" for k, c in reversed(cuts)) + " ELSE 8 END"
+_SEED = "(('0x' || substr(md5({0} || '|42'), 1, 15))::BIGINT % 2147483646 + 1)"
+_DRAWS = "a(rep, av) AS (SELECT 1, 48271::BIGINT UNION ALL SELECT rep + 1, av * 48271 % 2147483647 FROM a WHERE rep < 2000)"
+_WEIGHT = "CASE " + " ".join(f"WHEN x0 * av % 2147483647 / 2147483647.0::DOUBLE < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(resampling.POISSON)) + " ELSE 8 END"
 
 
-_BOOT = f"""(WITH f AS (SELECT {_FAM} AS family, count(*) AS n, count(*) FILTER (WHERE t = p) AS ok, count(*) FILTER (WHERE t = p) - count(*) FILTER (WHERE t = p2) AS dl FROM {_P} GROUP BY 1),
-w AS (SELECT *, {_draw_sql()} AS w FROM f, (SELECT unnest(range(100)) AS rep)) SELECT rep, sum(w * ok) / sum(w * n) AS acc, sum(w * dl) / sum(w * n) AS delta FROM w GROUP BY rep)"""
+def _boot_sql(pred: str, name: str) -> str:
+    """Values of every metric at every replicate (0: all rows as they are)."""
+    return f"""{name}_n AS (SELECT {_SEED.format(_FAM)} AS x0, urgency IN ('urgent', 'emergency', 'high') AS u, t, {pred} AS p, count(*) AS n FROM {_P} GROUP BY ALL),
+{name}_w AS (SELECT rep, u, t, p, sum(n * ({_WEIGHT})) AS n FROM {name}_n, a GROUP BY ALL UNION ALL SELECT 0, u, t, p, sum(n) FROM {name}_n GROUP BY ALL),
+{name}_l AS (SELECT rep, label, sum(n) FILTER (WHERE t = label AND p = label) AS tp, sum(n) FILTER (WHERE t = label) AS s, sum(n) FILTER (WHERE p = label) AS r FROM {name}_w, (VALUES ('anamnesis'), ('faq'), ('booking'), ('unsupported')) k(label) GROUP BY ALL),
+{name}_f AS (SELECT rep, avg(2 * coalesce(tp, 0) / (coalesce(s, 0) + coalesce(r, 0))) AS v FROM {name}_l WHERE coalesce(s, 0) + coalesce(r, 0) > 0 GROUP BY rep),
+{name} AS (SELECT rep, 'macro_f1' AS metric, v FROM {name}_f UNION ALL SELECT rep, unnest(['accuracy', 'recall_anamnesis', 'recall_urgent']), unnest([sum(n) FILTER (WHERE t = p) / sum(n), coalesce(sum(n) FILTER (WHERE t = 'anamnesis' AND p = t) / nullif(sum(n) FILTER (WHERE t = 'anamnesis'), 0), 0),
+coalesce(sum(n) FILTER (WHERE u AND p = 'anamnesis') / nullif(sum(n) FILTER (WHERE u), 0), 0)]) FROM {name}_w GROUP BY rep)"""
 
 
 def _family():
     return F.coalesce(F.nullif(F.trim("seed_id"), F.lit("")), F.concat(F.lit("row_"), F.col("row_no").cast("string")))
 
 
-@plan(f"SELECT round(avg(acc), 6) AS mean, round(quantile_cont(acc, 0.025), 6) AS low, round(quantile_cont(acc, 0.975), 6) AS high FROM {_BOOT}")
+_CI = "round(max(v) FILTER (WHERE rep = 0), 6) AS point, round(quantile_cont(v, 0.025) FILTER (WHERE rep > 0), 6) AS low, round(quantile_cont(v, 0.975) FILTER (WHERE rep > 0), 6) AS high"
+
+
+@plan(f"WITH RECURSIVE {_DRAWS}, {_boot_sql('p', 'b')} SELECT metric, {_CI} FROM b GROUP BY metric")
 def family_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return stats.interval(stats.bootstrap_accuracy(stats.family_counts(predictions(spark, d), _family(), "t", "p"), 100))
+    """Percentile intervals of every metric from 2,000 replicates."""
+    return resampling.family_bootstrap(predictions(spark, d), _family(), "t", "p", "urgency", bca=False).select("metric", "point", "low", "high")
 
 
 @plan()
 def family_bootstrap_bca(spark: SparkSession, d: str) -> DataFrame:
-    return stats.bca(stats.family_counts(predictions(spark, d), _family(), "t", "p"), 100)
+    return resampling.family_bootstrap(predictions(spark, d), _family(), "t", "p", "urgency")
 
 
-@plan(f"SELECT round(avg(delta), 6) AS delta, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high, round(avg((delta <= 0)::INT), 6) AS p_value FROM {_BOOT}")
+@plan(f"""WITH RECURSIVE {_DRAWS}, {_boot_sql('p', 'b')}, {_boot_sql('p2', 'e')}, x AS (SELECT rep, metric, b.v - e.v AS v FROM b JOIN e USING (rep, metric)), y AS (SELECT metric, max(v) FILTER (WHERE rep = 0) AS delta, avg(v) FILTER (WHERE rep > 0) AS m,
+quantile_cont(v, 0.025) FILTER (WHERE rep > 0) AS low, quantile_cont(v, 0.975) FILTER (WHERE rep > 0) AS high, avg((v <= 0)::INT) FILTER (WHERE rep > 0) AS p FROM x GROUP BY metric)
+SELECT metric, round(delta, 6) AS delta, round(m, 6) AS delta_mean, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p_value, low > 0 OR high < 0 AS significant FROM y""")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return stats.paired(predictions(spark, d), _family(), "t", "p", "p2", 100)
+    return resampling.paired_bootstrap(predictions(spark, d), _family(), "t", "p", "p2", "urgency")
 
 
 @plan(f"SELECT count(*) FILTER (WHERE t = p AND t <> p2) AS b, count(*) FILTER (WHERE t <> p AND t = p2) AS c FROM {_P}")
@@ -263,20 +270,26 @@ def mcnemar_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @plan("""WITH x AS (SELECT l_quantity - avg_q AS df FROM (SELECT l_quantity, round(avg(l_quantity) OVER (PARTITION BY l_orderkey), 2) AS avg_q FROM lineitem)),
-r AS (SELECT df, rank() OVER (ORDER BY abs(df)) + (count(*) OVER (PARTITION BY abs(df)) - 1) / 2.0 AS r FROM x WHERE df <> 0)
-SELECT count(*) AS n, round(coalesce(sum(r) FILTER (WHERE df > 0), 0), 1)::DOUBLE AS w_plus, round(coalesce(sum(r) FILTER (WHERE df < 0), 0), 1)::DOUBLE AS w_minus FROM r""")
+r AS (SELECT df, rank() OVER (ORDER BY abs(df)) + (count(*) OVER (PARTITION BY abs(df)) - 1) / 2.0 AS r FROM x WHERE df <> 0),
+s AS (SELECT count(*) AS n, sum(r) FILTER (WHERE df > 0) AS wp, sum(r) FILTER (WHERE df < 0) AS wm FROM r), g AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM r GROUP BY abs(df)))
+SELECT n, round(coalesce(wp, 0), 1)::DOUBLE AS w_plus, round(coalesce(wm, 0), 1)::DOUBLE AS w_minus, ties::BIGINT AS ties,
+round((least(wp, wm) - n * (n + 1) / 4.0) / sqrt((n::DOUBLE * (n + 1) * (2 * n + 1) - ties / 2.0) / 24), 5)::DOUBLE AS z FROM s, g""")
 def wilcoxon_ranks(spark: SparkSession, d: str) -> DataFrame:
     li = t(spark, d, "lineitem")
     a = li.groupBy("l_orderkey").agg(F.round(F.avg("l_quantity"), 2).alias("a"))
     s = stats.signed_ranks(li.join(a, "l_orderkey").select((F.col("l_quantity") - F.col("a")).alias("df")), "df")
-    return s.select("n", F.round("w_plus", 1).alias("w_plus"), F.round("w_minus", 1).alias("w_minus"))
+    z = stats.wilcoxon_z(F.col("n").cast("double"), F.col("w_plus"), F.col("w_minus"), F.col("ties"))
+    return s.select("n", F.round("w_plus", 1).alias("w_plus"), F.round("w_minus", 1).alias("w_minus"), "ties", F.round(z, 5).alias("z"))
 
 
-@plan("""WITH v AS (SELECT user_id, event_type, round(avg(value), 6) AS v FROM events GROUP BY ALL), f AS (SELECT * FROM v WHERE user_id IN (SELECT user_id FROM v GROUP BY 1 HAVING count(*) = 5)),
-r AS (SELECT event_type, rank() OVER (PARTITION BY user_id ORDER BY v) + (count(*) OVER (PARTITION BY user_id, v) - 1) / 2.0 AS r FROM f), s AS (SELECT event_type, sum(r) AS s, count(*) AS n FROM r GROUP BY 1)
-SELECT max(n) AS blocks, count(*) AS treatments, round((12.0 / (max(n) * count(*) * (count(*) + 1)) * sum(s * s) - 3 * max(n) * (count(*) + 1))::DOUBLE, 6) AS chi2 FROM s""")
+@plan("""WITH v AS (SELECT user_id, event_type, round(avg(value), 0) AS v FROM events GROUP BY ALL), f AS (SELECT * FROM v WHERE user_id IN (SELECT user_id FROM v GROUP BY 1 HAVING count(*) = 5)),
+r AS (SELECT event_type, rank() OVER (PARTITION BY user_id ORDER BY v) + (count(*) OVER (PARTITION BY user_id, v) - 1) / 2.0 AS r FROM f), s AS (SELECT event_type, sum(r) AS s, count(*) AS n FROM r GROUP BY 1),
+g AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM f GROUP BY user_id, v)), x AS (SELECT max(n) AS n, count(*) AS k, sum(s * s) AS s2 FROM s),
+c AS (SELECT n, k, round(((12.0 / (n * k * (k + 1)) * s2 - 3 * n * (k + 1)) / (1 - ties / (k * (k * k - 1) * n)::DOUBLE))::DOUBLE, 6) AS chi2 FROM x, g)
+SELECT n AS blocks, k AS treatments, chi2, round(exp(-chi2 / 2) * (1 + chi2 / 2), 9) AS p_value FROM c""")
 def friedman_ranks(spark: SparkSession, d: str) -> DataFrame:
-    v = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("v"))
+    """Five treatments, so the tail of four degrees of freedom has a closed form for the oracle."""
+    v = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 0).alias("v"))
     full = v.groupBy("user_id").count().where("count = 5").select("user_id")
     return stats.friedman(v.join(full, "user_id"), "user_id", "event_type", "v")
 
@@ -292,3 +305,33 @@ SELECT c_mktsegment, p, round(max(x) OVER (ORDER BY p, c_mktsegment ROWS UNBOUND
 def holm_adjusted(spark: SparkSession, d: str) -> DataFrame:
     p = t(spark, d, "customer").groupBy("c_mktsegment").agg(F.least(F.lit(1.0), F.round(F.avg("c_acctbal") / 200000, 9)).alias("p"))
     return stats.holm(p, "p", "c_mktsegment")
+
+
+_SIG = """(SELECT user_id AS k, event_type AS mode, unnest(['mean', 'bought']) AS metric, unnest([round(avg(value), 6), (max(value) > 150)::INT]) AS v FROM events GROUP BY user_id, event_type)"""
+_MODES = ["view", "click", "purchase"]
+
+
+def _marks(spark: SparkSession, d: str) -> DataFrame:
+    g = t(spark, d, "events").groupBy(F.col("user_id").alias("k"), F.col("event_type").alias("mode")).agg(F.round(F.avg("value"), 6).alias("mean"), (F.max("value") > 150).cast("double").alias("bought"))
+    return g.unpivot(["k", "mode"], ["mean", "bought"], "metric", "v")
+
+
+_SIG_N = f"(SELECT * FROM {_SIG} WHERE mode IN ('view', 'click', 'purchase') QUALIFY count(*) OVER (PARTITION BY k, metric) = 3)"
+
+
+@plan(f"""WITH RECURSIVE {_DRAWS}, s AS (SELECT *, {_SEED.format('k::VARCHAR')} AS x0 FROM {_SIG_N}), w AS (SELECT metric, mode, rep, sum(v * ({_WEIGHT})) / sum({_WEIGHT}) AS v FROM s, a GROUP BY ALL UNION ALL SELECT metric, mode, 0, avg(v) FROM s GROUP BY ALL),
+x AS (SELECT w.metric, w.mode, w.rep, w.v, w.v - b.v AS dv FROM w JOIN w b ON b.mode = 'view' AND b.metric = w.metric AND b.rep = w.rep)
+SELECT metric, mode, (SELECT count(*) FROM s WHERE s.metric = x.metric AND s.mode = x.mode) AS n, round(max(v) FILTER (WHERE rep = 0), 6) AS mean, round(quantile_cont(v, 0.025) FILTER (WHERE rep > 0), 6) AS low, round(quantile_cont(v, 0.975) FILTER (WHERE rep > 0), 6) AS high,
+round(max(dv) FILTER (WHERE rep = 0), 6) AS diff, round(quantile_cont(dv, 0.025) FILTER (WHERE rep > 0), 6) AS diff_low, round(quantile_cont(dv, 0.975) FILTER (WHERE rep > 0), 6) AS diff_high,
+mode <> 'view' AND (quantile_cont(dv, 0.025) FILTER (WHERE rep > 0) > 0 OR quantile_cont(dv, 0.975) FILTER (WHERE rep > 0) < 0) AS significant FROM x GROUP BY metric, mode""")
+def significance_table(spark: SparkSession, d: str) -> DataFrame:
+    """Means, intervals and differences to a base mode over keys that all modes have, from 2,000 replicates."""
+    return stats.significance(_marks(spark, d), "k", "mode", "metric", "v", _MODES, "view", ("bought",)).drop("p_value", "test")
+
+
+@plan(f"""WITH s AS (SELECT k, mode, v FROM {_SIG} WHERE metric = 'mean'), p AS (SELECT a.mode AS a, b.mode AS b, a.v AS x, b.v AS y FROM s a JOIN s b USING (k) WHERE (a.mode, b.mode) IN (('click', 'view'), ('purchase', 'view')))
+SELECT a, b, count(*) AS n, round(avg(x), 6) AS mean_a, round(avg(y), 6) AS mean_b, round(avg(x) - avg(y), 6) AS diff, round((avg(x) - avg(y)) / sqrt((var_samp(x) + var_samp(y)) / 2), 6) AS effect_d FROM p GROUP BY a, b""")
+def paired_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """The test's p values are checked by hand-worked tests; here the figures SQL can say."""
+    r = stats.paired_analysis(_marks(spark, d).where("metric = 'mean'"), "k", "mode", "v", [("click", "view"), ("purchase", "view")])
+    return r.select("a", "b", "n", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "diff", "effect_d")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import dedup, report, splits
+from tessella.operators import dedup, splits
 from tessella.operators import text as tx
 from tessella.plans.registry import plan, t
 from tessella.plans.text_plans import NORM
@@ -74,8 +74,9 @@ def greedy_cosine_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @plan()
 def segment_greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    return dedup.greedy_by_segment(e, "label", 0.3)
+    """Every twentieth vector counts as a seed, its number by hundreds as the seed family."""
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label", F.floor(F.col("vec_id") / 100).alias("family"))
+    return dedup.greedy_by_segment(e, "label", 0.3, F.col("id") % 20 == 0, ("family", "label"))
 
 
 _BR = "round_even({0}, 0)::BIGINT"
@@ -133,10 +134,12 @@ def tfidf_logistic(spark: SparkSession, d: str) -> DataFrame:
     """Route classifier trained on the train messages, its confusion on the hard ones."""
     from tessella.operators import metrics, ml
 
-    lab = lambda n: t(spark, d, n).withColumn("label", F.lower(F.trim(F.coalesce("route_domain", F.lit(""))))).where(F.col("label").isin("anamnesis", "booking", "faq", "unsupported")).select("label", ml.char_grams(F.col("text"), 3, 4).alias("tessella_grams"))
+    classes = ["anamnesis", "booking", "faq", "unsupported"]
+    lab = lambda n: t(spark, d, n).select(tx.label_of(F.col("route_domain"), classes).alias("label"), "text").where("label is not null")
     train = lab("d1_v6_train")
-    model = ml.tfidf_lr("label", features=20_000, rows=train.count()).fit(train)
-    out = ml.predicted(model, lab("d1_v6_hard_test"), list(model.stages[0].labels))
+    words = ml.TfIdf().fit(train, "text")
+    model = ml.logistic("label", train.count()).fit(words.vectors(train, "text"))
+    out = ml.predicted(model, words.vectors(lab("d1_v6_hard_test"), "text"), list(model.stages[0].labels))
     return metrics.confusion(out, "label", "pred")
 
 
@@ -148,9 +151,3 @@ def centroid_classifier(spark: SparkSession, d: str) -> DataFrame:
 
     e = t(spark, d, "embeddings")
     return ml.nearest_centroid(e, ml.centroids(e, "embedding", "label"), "embedding", "label", "vec_id")
-
-
-@plan("SELECT r.sample_id FROM eval_sample r WHERE r.category <> 'pricing'")
-def task_grid(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "eval_sample").select("sample_id", "category")
-    return report.undone(e, e.where("category = 'pricing'"), "sample_id").select("sample_id")

@@ -34,7 +34,7 @@ def three_equalities_audit(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-_CLAIMS = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS family, trim(unnest(regexp_extract_all(lower(coalesce(text, '')), '({rx})', 1))) AS claim FROM documents" for n, rx in tx.CLAIMS)
+_CLAIMS = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS family, trim(unnest(regexp_extract_all(coalesce(text, ''), '({rx})', 1))) AS claim FROM documents" for n, rx in tx.CLAIMS)
 
 
 @plan(f"SELECT doc_id, family, claim, count(*) AS n FROM ({_CLAIMS}) GROUP BY ALL")
@@ -77,7 +77,9 @@ ROUTES_SQL = f"(SELECT *, {ROUTED[0]} AS route, ({ROUTED[1]})::DOUBLE AS confide
 
 @plan(f"SELECT row_no, route, confidence, rule FROM {ROUTES_SQL}")
 def rule_router(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "d1_v6_hard_test").select("row_no", rules.routed(F.col("text")).alias("r")).select("row_no", "r.*")
+    # one file may be one input partition: the patterns want every core
+    h = t(spark, d, "d1_v6_hard_test").select("row_no", "text").repartition(spark.sparkContext.defaultParallelism)
+    return h.select("row_no", rules.routed(F.col("text")).alias("r")).select("row_no", "r.*")
 
 
 @plan(r"""WITH hit AS (SELECT DISTINCT p_brand FROM part WHERE lower(p_name) LIKE '%red%')

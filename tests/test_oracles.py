@@ -40,6 +40,6 @@ def test_oracle(spark, duck, name):
     assert got == sorted([plain(row[names.index(c)]) for c in cols] for row in r.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"tfidf_logistic"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
