@@ -31,6 +31,13 @@ LISTED = 1_000
 MET = "row bigint, other bigint, own boolean, hot bigint"
 
 
+def _first(rows: DataFrame, *by: str) -> DataFrame:
+    """One row for the copies of each text, with the smallest number. A copy has the same words and
+    numbers, whichever it is; copies are reduced before they are shuffled."""
+    same = [F.any_value(c).alias(c) for c in ("words", "nums", "map", "size")]
+    return rows.groupBy(*by, "digest").agg(F.min("row").alias("row"), *same).drop("digest")
+
+
 def _resolve_small(edges: DataFrame) -> DataFrame:
     """Rejected rows of a checked, small number of edges (row, other, own), in one
     task: in order of rows, each that has an accepted neighbour before it. Neighbours
@@ -144,12 +151,6 @@ class History:
         """The stored rows of complete batches."""
         return self.spark.table(f"{self.name}_{what}").where(F.col("attempt").isin(self.meta["done"])).drop("attempt")
 
-    def _staged(self, rows: DataFrame, path: str, *keep: str) -> DataFrame:
-        """The word sets of ``rows``, written; rows without words are left out."""
-        sets = rows.where("size > 0")
-        w = sets.write.option("compression", "zstd")
-        (w.partitionBy(*keep) if keep else w).parquet(path)
-        return self.spark.read.schema(sets.schema).parquet(path)
 
     def accepted(self) -> DataFrame:
         """``(row)`` of every accepted record that has words."""
@@ -165,26 +166,22 @@ class History:
         are no record: accepted, never matched. Copies inside the batch are
         settled by a minimum a digest, so a group of any size costs one row.
         """
-        rows = self._staged(batch, scratch(self.spark, "batch"))
-        self._check(rows)
+        rows = written(batch.where("size > 0"), "batch")
+        reps = written(_first(rows), "reps")
+        self._check(reps, reps.count())
         return rows.select("row").join(self.accepted(), "row", "left_anti")
 
-    def _check(self, rows: DataFrame) -> None:
-        """Settles the staged ``rows`` as the next batch and appends what is accepted."""
+    def _check(self, reps: DataFrame, n: int) -> None:
+        """Settles the next batch, given the ``n`` stored rows that stand for their copies, and appends what is accepted."""
         spark, meta = self.spark, self.meta
-        # a copy has the same words and numbers, whichever it is
-        same = [F.any_value(c).alias(c) for c in ("words", "nums", "map", "size")]
-        seen = Observation()
-        reps = rows.groupBy("digest").agg(F.min("row").alias("row"), *same).drop("digest")
-        reps = written(reps.observe(seen, F.count(F.lit(1)).alias("n")), "reps")
-        n = seen.get["n"]
+        reps = reps.select("row", "words", "nums", "map", "size")
+        # the attempt is marked before anything is stored under its number, so none is used twice
+        attempt = len(names(spark, f"{self.path}/started"))
+        put_text(spark, f"{self.path}/started/{attempt:09d}", "")
         if not meta["slots"]:
             meta["buckets"] = meta["buckets"] or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * meta["bands"] // 2_000_000))
             meta["slots"] = slot_ids(spark, meta["buckets"])
             self._open()
-        # the attempt is marked before anything is stored under its number, so none is used twice
-        attempt = len(names(spark, f"{self.path}/started"))
-        put_text(spark, f"{self.path}/started/{attempt:09d}", "")
         keys = lambda df: slotted(df, bands_of(meta["bands"], meta["rows"]), ("words", "nums"), meta["slots"]).repartition(meta["buckets"], "slot")
         fresh, at = f"{self.name}_new{attempt}", scratch(spark, "new")
         self._make(fresh, ENTRIES, "slot", at)
@@ -195,10 +192,11 @@ class History:
         past = Observation()
         met = new.groupBy("slot").cogroup(old.groupBy("slot")).applyInArrow(_meetings(self.most, self.crowd), MET)
         met = written(met.observe(past, F.count(F.when(~F.col("own") & F.col("hot").isNull(), 1)).alias("old"), F.count("hot").alias("hot")), "met")
-        own, before = (met.where(f"hot is null and {x}").select("row", "other").distinct() for x in ("own", "not own"))
+        pairs = met.where("hot is null").select("row", "other", "own").distinct()
+        own, before = pairs.where("own"), pairs.where("not own")
         sets = self._kept("sets")
         if past.get["old"] <= LISTED:
-            sets = sets.where(F.col("row").isin([r[0] for r in before.select("other").distinct().collect()]))
+            sets = sets.where(F.col("row").isin([r[0] for r in met.where("hot is null and not own").select("other").distinct().collect()]))
         edges = verified(own, reps, reps).withColumn("own", F.lit(True))
         edges = edges.union(verified(before.hint("shuffle_hash"), reps, sets).withColumn("own", F.lit(False)))
         found = Observation()
@@ -218,6 +216,8 @@ class History:
             accepted = reps.join(out, "row", "left_anti").select("row", "words")
         kept.withColumn("attempt", F.lit(attempt)).write.insertInto(f"{self.name}_keys")
         accepted.withColumn("attempt", F.lit(attempt)).repartition(meta["buckets"], "row").write.insertInto(f"{self.name}_sets")
+        for what in ("keys", "sets"):  # the batch may come from another session, whose writes this one doesn't see by itself
+            spark.catalog.refreshTable(f"{self.name}_{what}")
         meta["done"].append(attempt)
         put_text(spark, f"{self.path}/manifest/{attempt:09d}", json.dumps(meta))
         self._drop(fresh, at)
@@ -269,7 +269,8 @@ def turned_away(df: DataFrame, key: str = "row_no", text: str = "text", batch: s
     """
     history = History(df.sparkSession, **index)
     number: Column = F.coalesce(F.col(batch).cast("bigint"), F.lit(1 << 62)).alias("_b")
-    rows = history._staged(prepared(df.select(key, text, number), key, text, ("_b",)), scratch(df.sparkSession, "messages"), "_b")
-    for (b,) in df.select(number).distinct().orderBy("_b").collect():
-        history._check(rows.where(F.col("_b") == b))
+    rows = written(prepared(df.select(key, text, number), key, text, ("_b",)).where("size > 0"), "messages")
+    reps = written(_first(rows, "_b"), "reps", ["_b"])
+    for b, n in sorted((r["_b"], r["n"]) for r in reps.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()):
+        history._check(reps.where(F.col("_b") == b), n)
     return rows.select("row").join(history.accepted(), "row", "left_anti").select(F.col("row").alias(key))
