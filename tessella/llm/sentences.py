@@ -74,8 +74,9 @@ OPEN = 3.5
 #: Possible ends of this score or less are no ends. Cutting a span in two can gain no more than the length score takes
 #: off the whole, 0.15 * log(size / 60), which is less than this for any text of under 10^17 characters.
 NEVER = -5.5
-#: Words seen in less than this share of their kind's places say nothing: at most its inverse can be in the table, at any size of the corpus.
-RARE = 1e-6
+#: Words seen in less than this share of their kind's places say nothing, at any size of the corpus. The table goes to every task;
+#: by Zipf's law it holds far fewer words than the inverse, which is checked against ``MOST``.
+RARE, MOST = 1e-7, 5_000_000
 
 
 def _size_score(size: int) -> float:
@@ -164,7 +165,7 @@ def statistics(docs: DataFrame, text: str = "text", rare: float = RARE, least: i
     """``(word, kind, score)``: log odds that a word opens a sentence (kind ``o``)
     or that a dotted word goes on (kind ``a``), counted over all documents. Words
     of a share under ``rare`` of their kind, or under ``least`` places, score 0: so a
-    corpus and its hundredfold give the same table, of 1/``rare`` words a kind at most."""
+    corpus and its hundredfold give the same table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
@@ -431,7 +432,9 @@ class Cutter:
 
 
 def _held(stats: DataFrame) -> Cutter:
-    rows = stats.collect()  # bounded by statistics()
+    rows = stats.limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} words to send to every task: raise the share under which they say nothing")
     return Cutter({r["word"]: r["score"] for r in rows if r["kind"] == "o"}, {r["word"]: r["score"] for r in rows if r["kind"] == "a"})
 
 
