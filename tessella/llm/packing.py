@@ -207,7 +207,7 @@ def packed(sizes: np.ndarray, capacity: int, nodes: int = NODES) -> np.ndarray:
     return out
 
 
-def _pack_pools(items: DataFrame, good: float) -> DataFrame:
+def _pack_pools(items: DataFrame, good: float, pools: int) -> DataFrame:
     """Packs each ``(pack_id, pool)`` of ``(pack_id, cap, pool, doc, size)``; adds container number and whether it
     stays: it is filled to ``good`` or belongs to the fuller half of its pool's."""
 
@@ -221,7 +221,8 @@ def _pack_pools(items: DataFrame, good: float) -> DataFrame:
         pdf["full"] = pdf["bin"].map(stays)
         return pdf[["pack_id", "cap", "pool", "doc", "size", "bin", "full"]]
 
-    return items.groupBy("pack_id", "pool").applyInPandas(one, "pack_id string, cap bigint, pool bigint, doc bigint, size bigint, bin bigint, full boolean")
+    # a pool is few bytes and much work: pools are dealt to tasks by number, four or so to each
+    return items.repartition(max(1, -(-pools // 4)), "pack_id", "pool").groupBy("pack_id", "pool").applyInPandas(one, "pack_id string, cap bigint, pool bigint, doc bigint, size bigint, bin bigint, full boolean")
 
 
 def containers(docs: DataFrame, packs: DataFrame, key: str = "doc_id", text: str = "text", pool: int = POOL, good: float = 0.98, size: Column | None = None) -> DataFrame:
@@ -255,7 +256,7 @@ def containers(docs: DataFrame, packs: DataFrame, key: str = "doc_id", text: str
         pools = spark.createDataFrame([(k, max(1, -(-v // pool))) for k, v in n.items()], "pack_id string, pools bigint")
         t = todo.join(F.broadcast(pools), "pack_id").withColumn("pool", F.pmod(F.xxhash64(F.lit(level), F.col("doc")), F.col("pools")))
         last = all(v <= pool for v in n.values())
-        got = written(_pack_pools(t.select("pack_id", "cap", "pool", "doc", "size"), 0.0 if last else good), f"pools{level}")
+        got = written(_pack_pools(t.select("pack_id", "cap", "pool", "doc", "size"), 0.0 if last else good, sum(max(1, -(-v // pool)) for v in n.values())), f"pools{level}")
         name = F.concat_ws("-", F.lit(f"{level}"), "pool", "bin")
         done.append(got.where("full").select("pack_id", "doc", name.alias("container"), "size"))
         if last:
