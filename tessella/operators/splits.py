@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +13,33 @@ def lot(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
 
 
+def first_in(df: DataFrame, by: str, order: list[str], slot: Column, take: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with ``taken``: whether a row is among the first ``take(rows)`` of its ``by`` group in an order.
+
+    ``slot`` is a coarse key that rises with the order. A histogram by slot shows where the number is reached:
+    slots before are taken whole, and only inside a slot are rows ordered, so no task sorts a group."""
+    t = df.withColumn("_slot", slot)
+    group = Window.partitionBy(by)
+    h = t.groupBy(by, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # as many rows as slots
+    h = h.select(F.col(by).alias("_by"), F.col("_slot").alias("_s"), (take(F.sum("_n").over(group)) - before).alias("_left"))
+    t = t.join(h, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_slot") == F.col("_s")))
+    k = F.row_number().over(Window.partitionBy(by, "_slot").orderBy(*order))
+    return t.withColumn("taken", k <= F.col("_left")).drop("_slot", "_by", "_s", "_left")
+
+
+def _hex(c: str) -> Column:
+    """A coarse key of a draw: 4,096 slots."""
+    return F.substring(c, 1, 3)
+
+
 def family_split(df: DataFrame, family: str, stratum: str, order: str, ratio: float, seed: int = 42) -> DataFrame:
-    """``(family, held)``: families to hold out, per stratum max(1, round(n * ratio)) of them, half to
+    """``(family, stratum, held)``: families to hold out, per stratum max(1, round(n * ratio)) of them, half to
     even. A family's stratum is that of its first row; blank families are never held out."""
     f = df.where(F.coalesce(F.trim(F.col(family)), F.lit("")) != "").groupBy(family).agg(F.min_by(stratum, order).alias("stratum"))
-    w = Window.partitionBy("stratum")
-    n = F.greatest(F.lit(1), F.bround(F.count(F.lit(1)).over(w) * F.lit(ratio)).cast("bigint"))
-    f = f.withColumn("_n", n).withColumn("_k", F.row_number().over(w.orderBy(lot(F.col(family), seed), family)))
-    return f.select(family, "stratum", (F.col("_k") <= F.col("_n")).alias("held"))
+    f = f.withColumn("_l", lot(F.col(family), seed))
+    f = first_in(f, "stratum", ["_l", family], _hex("_l"), lambda n: F.greatest(F.lit(1), F.bround(n * F.lit(ratio)).cast("bigint")))
+    return f.select(family, "stratum", F.col("taken").alias("held"))
 
 
 def modal_split(df: DataFrame, family: str, category: str, ratio: float, seed: int = 42) -> DataFrame:
@@ -26,11 +47,9 @@ def modal_split(df: DataFrame, family: str, category: str, ratio: float, seed: i
     smaller), at least one family of a category stays."""
     c = df.groupBy(family, category).agg(F.count(F.lit(1)).alias("n"))
     f = c.groupBy(family).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(category).alias("c"))).alias("m")).select(family, F.col("m.c").alias("category"))
-    w = Window.partitionBy("category")
-    n = F.count(F.lit(1)).over(w)
-    take = F.least(F.greatest(F.lit(1), F.bround(n * F.lit(ratio)).cast("bigint")), n - 1)
-    k = F.row_number().over(w.orderBy(lot(F.col(family), seed), family))
-    return f.withColumn("_t", take).withColumn("_k", k).select(family, "category", (F.col("_k") <= F.col("_t")).alias("held"))
+    f = f.withColumn("_l", lot(F.col(family), seed))
+    f = first_in(f, "category", ["_l", family], _hex("_l"), lambda n: F.least(F.greatest(F.lit(1), F.bround(n * F.lit(ratio)).cast("bigint")), n - 1))
+    return f.select(family, "category", F.col("taken").alias("held"))
 
 
 def stratified(df: DataFrame, key: str, stratum: str, n: int, seed: int = 42) -> DataFrame:
@@ -55,9 +74,13 @@ def quota_sample(df: DataFrame, key: str, family: str, category: str, quotas: di
     """Per category its quota of rows: one of each family first, then others, by draw."""
     q = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
     t = df.select(key, family, F.col(category).alias("category")).withColumn("_l", lot(F.col(key), seed)).withColumn("_q", F.try_element_at(q, F.col("category"))).where("_q > 0")
-    t = t.withColumn("_r", F.row_number().over(Window.partitionBy("category", family).orderBy("_l", key)))
-    t = t.withColumn("_k", F.row_number().over(Window.partitionBy("category").orderBy((F.col("_r") > 1).cast("int"), "_l", key)))
-    return t.where("_k <= _q").select(key, family, "category")
+    # a family's first row is a minimum; all its others come after the first ones of all families
+    first = t.groupBy("category", family).agg(F.min(F.struct("_l", key)).alias("_f"))
+    t = t.join(first.select(F.col("category").alias("_c"), F.col(family).alias("_fam"), F.col(f"_f.{key}").alias("_key")), (F.col("category") == F.col("_c")) & F.col(family).eqNullSafe(F.col("_fam")))
+    t = t.withColumn("_x", (F.col(key) != F.col("_key")).cast("int"))
+    quota = lambda n: F.try_element_at(q, F.col("category"))
+    t = first_in(t, "category", ["_x", "_l", key], F.concat(F.col("_x").cast("string"), _hex("_l")), quota)
+    return t.where("taken").select(key, family, "category")
 
 
 def holdout(df: DataFrame, family: str, marked: Column) -> DataFrame:
