@@ -228,6 +228,20 @@ def _longest(ops: list[tuple[int, int]], key: list[bool]) -> int:
     return top
 
 
+def may_run(held: list[bool], least: int) -> bool:
+    """Whether ``least`` or more words in a row may be held with no more edits than :func:`_longest` allows: every word that
+    isn't ``held`` (as it is or run together with a neighbour, wherever in reach) is an edit at least, so what fails here fails there."""
+    low, total, sums = math.inf, 0.0, [0.0]
+    for k, h in enumerate(held, 1):
+        total += EDITED - (not h)
+        sums.append(total)
+        if k >= least:
+            low = min(low, sums[k - least])
+            if total - low >= -0.5 - 1e-9:
+                return True
+    return False
+
+
 class Items:
     """The sentences of test items, stock text aside: words, keys, samples, seeds."""
 
@@ -290,7 +304,9 @@ class Items:
             s, shift = x >> 32, ((x & 0xFFFFFFFF) - (1 << 31)) * 4 + 2
             one, two = self.codes[s]
             there = set(codes[max(0, shift - BAND) : max(0, shift + len(one) + BAND)])
-            if sum(c in there for c in one) + 2 * sum(c in there for c in two) >= least - most:
+            joined = [c in there for c in two]
+            held = [c in there for c in one]
+            if sum(held) + 2 * sum(joined) >= least - most and may_run([h or j or k for h, j, k in zip(held, [*joined, False], [False, *joined], strict=True)], least):
                 out.append((s, shift))
         return out
 

@@ -191,6 +191,21 @@ def test_overlap_at_the_limit(spark):
     assert len(want) >= 516 and {tuple(r) for r in overlap.Overlap(frame(spark, a), frame(spark, b).withColumn("row_no", F.col("row_no") + 1000)).rows().collect()} == {(j, k + 1000) for j, k in want}
 
 
+def test_overlap_of_crowded_fingerprints(spark, monkeypatch):
+    """A greeting of ten words on every record: its fingerprints are passed over, and no pair is lost for it."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.sample("абвгдежзиклмнопрст", 7)) for _ in range(3000)]
+    hello = " ".join(vocab[:10])
+    a = [f"{hello} " + " ".join(rng.sample(vocab[10:], 25)) for _ in range(150)]
+    b = [edited(x, 4, rng) if k % 3 else f"{hello} " + " ".join(rng.sample(vocab[10:], 25)) for k, x in enumerate(a)]
+    train, evals = words_of(spark, a), words_of(spark, b)
+    want = {(j + 1, k + 1001) for j, x in enumerate(train) for k, y in enumerate(evals) if near(x, y)}
+    rows = lambda: {tuple(r) for r in overlap.Overlap(frame(spark, a), frame(spark, b).withColumn("row_no", F.col("row_no") + 1000)).rows().collect()}
+    assert len(want) >= 100 and rows() == want
+    monkeypatch.setattr(overlap, "CROWD", 0)  # no fingerprint joins anything
+    assert rows() == want
+
+
 def test_aligned():
     a = list(range(40))
     assert overlap.aligned(a, a)[1] == 40

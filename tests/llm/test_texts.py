@@ -96,6 +96,23 @@ def test_leaks(spark):
     assert leaks.leaks(docs.where("false"), items).count() == 0 and leaks.leaks(docs, items.where("false")).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=10, max_size=24), st.data())
+def test_leaks_prefilter_loses_nothing(kinds, data):
+    item = [f"слово{'абвгдежзик'[k]}{'лмнопрстуфхцчшщэюяйъыьлм'[i]}" for i, k in enumerate(kinds)]
+    doc = []
+    for w in item:
+        edit = data.draw(st.sampled_from(["", "", "", "", "lost", "added", "misspelt", "joined", "broken"]))
+        doc += {"lost": [], "added": [w, "ещё"], "misspelt": [w + "х"], "broken": [w[:4], w[4:]]}.get(edit, [w])
+        if edit == "joined" and len(doc) > 1:
+            doc[-2:] = [doc[-2] + doc[-1]]
+    n = leaks.held_words(item, [False] * len(item), doc, 0, band=30)
+    there, two = set(doc), [a + b for a, b in zip(item, item[1:], strict=False)]
+    joined = [c in there for c in two]
+    flags = [w in there or j or k for w, j, k in zip(item, [*joined, False], [False, *joined], strict=True)]
+    assert n < 10 or leaks.may_run(flags, 10)
+
+
 def test_leaks_hot_and_edited(spark):
     ten = "Промойте лунку солевым раствором затем приложите холодный компресс слева щеки"
     # left with two seeds of three words, none, and with words run together
