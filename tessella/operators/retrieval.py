@@ -293,3 +293,24 @@ def diversity_guard(ranking: DataFrame, pool: DataFrame, multi: Column, k: int,
 
     ids = {f.name: f.dataType.simpleString() for f in ranking.schema.fields}
     return both.groupBy("query_id").applyInPandas(one, f"query_id {ids['query_id']}, chunk_id {ids['chunk_id']}, rank int")
+
+
+#: Strategies by id: name, what they need beside queries and chunks, and the operators they are composed of.
+STRATEGIES: dict[str, tuple[str, tuple[str, ...], tuple[Callable, ...]]] = {
+    "B0": ("keyword templates", ("topics",), (keyword_scores, ranked)),
+    "S2": ("lexical", (), (bm25,)),
+    "S3": ("dense", ("vectors",), (dense,)),
+    "S4": ("hybrid", ("vectors",), (bm25, dense, fused)),
+    "S4r": ("hybrid, reranked", ("vectors", "scorer"), (bm25, dense, fused, reranked, diversity_guard)),
+    "S5": ("cascade", ("topics", "vectors", "scorer"), (keyword_scores, eligible, reranked, cascade)),
+}
+_EXPERIMENTAL = ("S4r", "S5")
+
+
+def strategies(baseline: bool = True, experimental: bool = False, given: tuple[str, ...] = ("topics", "vectors", "scorer")) -> list[str]:
+    """Ids of the strategies to run, in order: the core ones, the baseline and the experimental ones if asked for. A
+    strategy that needs something not ``given`` is an error."""
+    ids = [i for i in STRATEGIES if (baseline or i != "B0") and (experimental or i not in _EXPERIMENTAL)]
+    if lost := {i: sorted(set(STRATEGIES[i][1]) - set(given)) for i in ids if set(STRATEGIES[i][1]) - set(given)}:
+        raise ValueError(f"strategies lack what they need: {lost}")
+    return ids

@@ -129,6 +129,9 @@ def test_retrieval(spark):
     c = spark.createDataFrame([(1, "болит зуб"), (2, "зуб"), (3, None), (4, "")], "chunk_id int, content string")
     got = [(r["query_id"], r["chunk_id"]) for r in retrieval.bm25(q, c, 2).orderBy("query_id", "rank").collect()]
     assert got == [(1, 1), (1, 2)] and retrieval.bm25(q.where("false"), c).count() == 0
+    assert retrieval.strategies() == ["B0", "S2", "S3", "S4"] and retrieval.strategies(False, True)[-1] == "S5"
+    with pytest.raises(ValueError, match="vectors"):
+        retrieval.strategies(given=("topics",))
     g = spark.createDataFrame([(1, [["location"], ["price"]]), (2, [["x"]]), (3, [])], "query_id int, gold array<array<string>>")
     r = spark.createDataFrame([(k, ["contacts", "location", "doctor"]) for k in (1, 2, 3)], "query_id int, ids array<string>")
     s = {x["query_id"]: x for x in retrieval.retrieval_scores(r, g).collect()}
