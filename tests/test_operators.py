@@ -99,7 +99,7 @@ def test_bootstrap(spark):
 
 
 def test_answers(spark):
-    holds = lambda claim, kb: one(spark, answers.supported(F.lit(claim), answers.kb_forms(F.lit(kb))))
+    holds = lambda claim, kb: one(spark, answers.supported(answers.claim_forms(F.lit(claim)), answers.kb_forms(F.lit(kb))))
     assert holds("", "x") and holds("7 лет", "стаж 7, да") and holds("35 000 ₽", "от 35 000 руб") and holds("+7 (8422) 58-58-58", "тел. 78422585858") and holds("https://a.ru/", "см. http://a.ru/x")
     assert not holds("35 000 руб", "35 мест") and holds("Ермаковой Анны Петровны", "врач Ермаков") and not holds("500 ₽", "35 мест")
     fam = {(r["family"], r["claim"]) for r in tx.claims(spark.createDataFrame([("Иванов Пётр Ильич, от 35 000 ₽, стаж 7 ЛЕТ, a@b.ru, https://x.y/z",)], "text string")).collect()}
