@@ -18,6 +18,21 @@ INVISIBLE = "\u00AD\u034F\u061C\u115F\u1160\u17B4\u17B5\u180E\uFEFF" + "".join(
 )
 #: Blanks of other widths.
 SPACES = "\t\u00A0\u1680\u202F\u205F\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def ranges(chars: str) -> str:
+    """``chars`` as ranges of a class of characters: Java tries what a class lists one by one, at every character of a text."""
+    runs: list[list[int]] = []
+    for c in sorted(set(map(ord, chars))):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in runs)
+
+
+#: Finds any of them: what is neither plain nor Russian is looked at once more.
+ODD = rf"[^ -~\x{{400}}-\x{{45F}}](?<=[{ranges(SPACES + INVISIBLE)}])"
 #: What :func:`tokenized` adds.
 TOKENS = ("words", "nums", "digest", "map", "size")
 #: A named field: a short name of letters, then its sign.
@@ -33,7 +48,7 @@ def bare(c: Column) -> Column:
 def cleaned(text: Column) -> Column:
     """Without invisible characters, every space a blank, none at the ends. Most texts have none to translate, which one look tells."""
     odd = F.translate(text, SPACES + INVISIBLE, " " * len(SPACES))
-    return bare(F.when(text.rlike(f"[{SPACES}{INVISIBLE}]"), odd).otherwise(text))
+    return bare(F.when(text.rlike(ODD), odd).otherwise(text))
 
 
 def with_fields(df: DataFrame, text: str = "text") -> DataFrame:
@@ -48,14 +63,14 @@ def with_fields(df: DataFrame, text: str = "text") -> DataFrame:
     parts = F.lit(None).cast("array<string>")
     for between in reversed(BETWEEN):
         own = F.filter(F.split(c, between), lambda p: p.rlike(r"\S"))
-        fits = head & c.rlike(between) & (F.size(own) >= 2) & F.forall(own, lambda p: p.rlike(FIELD))
+        fits = c.rlike(between) & (F.size(own) >= 2) & F.forall(own, lambda p: p.rlike(FIELD))
         parts = F.when(fits, own).otherwise(parts)
     pair = lambda p: F.struct(bare(F.split(p, "[:=]", 2)[0]).alias("name"), bare(F.split(p, "[:=]", 2)[1]).alias("value"))
     obj = F.col("_obj")
     entry = lambda e: F.struct(e["key"].alias("name"), F.coalesce(e["value"], F.lit("")).alias("value"))
     df = df.withColumn("_clean", cleaned(F.col(text)))
     df = df.withColumn("_obj", F.when(c.startswith("{") & c.endswith("}"), F.map_entries(F.from_json(c, "map<string,string>"))))
-    df = df.withColumn("_parts", parts)
+    df = df.withColumn("_parts", F.when(head, parts))
     fields = F.when(F.size(obj) >= 2, F.transform(obj, entry)).when(F.col("_parts").isNotNull(), F.transform("_parts", pair))
     return df.withColumn("_fields", fields).drop("_obj", "_parts")
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pyspark.sql.functions as F
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessella import session
-from tessella.llm import formatting, groups, history, overlap, packing, quota, slots
+from tessella.llm import formatting, groups, history, overlap, packing, quota, records, slots
 
 FREE = "Добрый день, у мамы болит зуб 15, принимала Ставомедон, врач Лепежайкин, хочу прийти в среду после обеда на Лунной улице рядом с парком"
 FORM = "врач: Лепежайкин; срок: третий день; жалоба: ноет"
@@ -32,6 +33,21 @@ def test_formatting(spark):
     assert formatting.copies(frame(spark, [])).count() == 0
 
 
+def test_odd_characters_are_told_by_ranges(spark):
+    """The look for odd characters finds each of them and nothing else, and takes a fraction of a class that lists them."""
+    java, listed = spark._jvm.java.util.regex.Pattern, f"[{records.SPACES}{records.INVISIBLE}]"
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x11000)]))
+    assert set(java.compile(records.ODD).matcher(every).replaceAll("")) == set(every) - set(records.SPACES + records.INVISIBLE)
+    text = FREE * 2_000
+
+    def took(pattern):
+        looks = [java.compile(pattern).matcher(text) for _ in range(6)]
+        began = [time.perf_counter() for m in looks if not m.find()]
+        return min(b - a for a, b in itertools.pairwise(began))
+
+    assert took(records.ODD) < took(listed) / 2
+
+
 def edited(text, n, rng):
     w = text.split()
     for k in rng.sample(range(len(w) - 1), n):
