@@ -261,16 +261,37 @@ def prepared(df: DataFrame, key: str = "row_no", text: str = "text", keep: tuple
     return tokenized(df.select(F.col(key).alias("row"), F.col(text).alias("_text"), *keep), "_text")
 
 
+def _gathered(batches: list[tuple[int, int, int, int]], alone: bool) -> list[tuple[int, int, int]]:
+    """``(batch, group, base)`` of ``(batch, rows, least row, greatest row)`` in order. Batches that wait together are checked together, as
+    long as they have no more than half the rows of all before them: the index of n rows is probed some log n times at most, however many
+    batches there are, and what a check moves beside it stays small. ``row + base`` is the row's place in the order of batches, then rows: the order in which rows are
+    settled, in one group or in many. Where places outgrow 63 bits, or if ``alone``, each batch is a group and rows are as they are."""
+    low = min((x[2] for x in batches), default=0)
+    span = max((x[3] for x in batches), default=0) - low + 1
+    if alone or len(batches) * span + abs(low) >= 1 << 62:
+        return [(b, k, 0) for k, (b, *_) in enumerate(batches)]
+    out, group, inside, before = [], 0, 0, 0
+    for k, (b, n, *_) in enumerate(batches):
+        if inside and 2 * (inside + n) > before:
+            group, inside, before = group + 1, 0, before + inside
+        inside += n
+        out.append((b, group, k * span - low))
+    return out
+
+
 def turned_away(df: DataFrame, key: str = "row_no", text: str = "text", batch: str = "batch_no", **index) -> DataFrame:
     """``(key)`` of all rows that a later-than-accepted, near-same text keeps out, batch after batch.
 
-    NULL batch numbers come last, as one batch. Each batch's own rows are
-    prepared once; the number of batches, not of rows, is what the driver loops over.
+    NULL batch numbers come last, as one batch. All rows are prepared once; batches
+    are gathered (:func:`_gathered`), but for those of a history at a path of its own, where rows keep their numbers.
     """
     history = History(df.sparkSession, **index)
     number: Column = F.coalesce(F.col(batch).cast("bigint"), F.lit(1 << 62)).alias("_b")
     rows = written(prepared(df.select(key, text, number), key, text, ("_b",)).where("size > 0"), "messages")
-    reps = written(_first(rows, "_b"), "reps", ["_b"])
-    for b, n in sorted((r["_b"], r["n"]) for r in reps.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()):
-        history._check(reps.where(F.col("_b") == b), n)
-    return rows.select("row").join(history.accepted(), "row", "left_anti").select(F.col("row").alias(key))
+    seen = rows.groupBy("_b").agg(F.count(F.lit(1)), F.min("row"), F.max("row"))
+    groups = df.sparkSession.createDataFrame(_gathered(sorted(map(tuple, seen.collect())), bool(index.get("path"))), "_b bigint, _g int, _base bigint")
+    rows = rows.withColumn("_key", F.col("row")).join(F.broadcast(groups), "_b").withColumn("row", F.col("row") + F.col("_base"))
+    reps = written(_first(rows, "_g"), "reps", ["_g"])
+    for g, n in sorted((r["_g"], r["n"]) for r in reps.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()):
+        history._check(reps.where(F.col("_g") == g), n)
+    return rows.select("row", "_key").join(history.accepted(), "row", "left_anti").select(F.col("_key").alias(key))

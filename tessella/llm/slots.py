@@ -73,6 +73,26 @@ def slot_ids(spark: SparkSession, partitions: int, each: int = 2) -> list[int]:
         width *= 2
 
 
+def _order(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The order by ``high`` (32 bits, none negative), then ``low``: by one number of both where they fit, which is several times faster."""
+    base, most = (low.min(), low.max()) if len(low) else (0, 0)
+    if int(most) - int(base) >> 32:
+        return np.lexsort((low, high))
+    return np.argsort((high.astype(np.uint64) << np.uint64(32)) | (low - base).astype(np.uint64))
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    """The different rows of ``pairs``, sorted."""
+    if not len(pairs):
+        return pairs
+    least, most = pairs.min(axis=0), pairs.max(axis=0)
+    if any(int(z) - int(a) >> 32 for a, z in zip(least, most, strict=True)):
+        return np.unique(pairs, axis=0)
+    a, b = (pairs - least).astype(np.uint64).T
+    both = np.unique((a << np.uint64(32)) | b)
+    return np.stack([both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)], 1).astype(np.int64) + least
+
+
 def slotted(df: DataFrame, keys: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], needs: tuple[str, ...], slots: list[int]) -> DataFrame:
     """``ENTRIES`` of ``df(row, map, size, *needs)``: what ``keys`` gives, packed by slot and sorted by key."""
     numbers = np.array(slots, np.int32)
@@ -83,7 +103,7 @@ def slotted(df: DataFrame, keys: Callable[[pa.RecordBatch], tuple[np.ndarray, np
         def out() -> pa.RecordBatch:
             slot, *cols = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((cols[0], slot))
+            order = _order(slot, cols[0])
             slot = slot[order]
             cut = np.r_[0, np.flatnonzero(slot[1:] != slot[:-1]) + 1, len(slot)]
             cols = [np.ascontiguousarray(c[order]) for c in cols]
@@ -124,7 +144,7 @@ def opened(table: pa.Table) -> tuple[np.ndarray, ...]:
     if not parts:
         return tuple(np.empty(0, kind) for _, kind in _KINDS)
     cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    order = np.lexsort((cols[1], cols[0]))
+    order = _order(cols[0], cols[1])
     return tuple(c[order] for c in cols)
 
 
@@ -164,7 +184,7 @@ def between(e: tuple[np.ndarray, ...], t: tuple[np.ndarray, ...], crowd: int | N
         ok = _allowed(em[i], en[i], tm[j], tn[j])
         found.append(np.stack([er[i[ok]], tr[j[ok]]], 1))
         lo = hi
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    return _distinct(np.concatenate(found)) if found else np.empty((0, 2), np.int64)
 
 
 def within(cols: tuple[np.ndarray, ...], most: int, crowd: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +221,7 @@ def within(cols: tuple[np.ndarray, ...], most: int, crowd: int) -> tuple[np.ndar
         else:
             found += more
     p = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    return np.unique(p[p[:, 0] != p[:, 1]], axis=0), np.concatenate(hot) if hot else np.empty(0, np.int64)
+    return _distinct(p[p[:, 0] != p[:, 1]]), np.concatenate(hot) if hot else np.empty(0, np.int64)
 
 
 def met(e: DataFrame, t: DataFrame, crowd: int | None = None) -> DataFrame:

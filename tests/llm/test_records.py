@@ -97,6 +97,24 @@ def test_history_is_greedy_in_order(spark):
     assert history.turned_away(df.where("false")).count() == 0
 
 
+def test_history_of_gathered_batches(spark, monkeypatch, tmp_path):
+    """Batches that wait are checked together: the same rows as one by one, in fewer checks."""
+    texts = [t for k in range(4) for t in near_texts(11 + k % 3)]  # a quarter comes again in later batches
+    batch = [1 + (k * 7919) % 10 // 2 if k % 2 else 0 for k in range(len(texts))]
+    sets = words_of(spark, texts)
+    kept, gone = [], set()
+    for k in sorted(range(len(texts)), key=lambda k: (batch[k], -k)):
+        (gone.add(-k) if any(near(sets[k], sets[j]) for j in kept) else kept.append(k)) if sets[k][0] else None
+    df = spark.createDataFrame([(-k, t, b) for k, (t, b) in enumerate(zip(texts, batch, strict=True))], "row_no bigint, text string, batch_no int")
+    checks, check = [], history.History._check
+    monkeypatch.setattr(history.History, "_check", lambda self, reps, n: (checks.append(n), check(self, reps, n)))
+    assert {r[0] for r in history.turned_away(df).collect()} == gone and len(gone) > len(texts) / 2 and len(checks) == 3
+    assert {r[0] for r in history.turned_away(df, path=f"file://{tmp_path}/h").collect()} == gone and len(checks) == 3 + len(set(batch)) == 9
+    few = [(5, 40, -3, 9), (6, 9, 0, 9), (7, 9, 0, 9), (8, 4, 0, 8), (9, 9, 0, 9)]
+    assert history._gathered(few, False) == [(5, 0, 3), (6, 1, 16), (7, 1, 29), (8, 2, 42), (9, 2, 55)]
+    assert history._gathered([(1, 1, 0, 1 << 62), (2, 1, 0, 1)], False) == [(1, 0, 0), (2, 1, 0)] and history._gathered([], False) == []
+
+
 def at_the_limit(seed, n, gone=7):
     """Pairs of 30 words of which ``gone`` are exchanged all over the text: 7 leave 23 common words of 37."""
     rng = random.Random(seed)
@@ -128,6 +146,12 @@ def test_slots():
     assert pairs.tolist() == [[2, 1]] and mine[1][hot].tolist() == [1, 2, 3]
     other = packed([(1, 9, 0b1111, 4), (3, 8, 0b1111, 4)])
     assert slots.between(mine, other).tolist() == [[1, 9], [2, 9]] and not len(slots.between(mine, other, crowd=0))
+    rng = np.random.default_rng(3)
+    for wide in (40, 1 << 20, 1 << 50):  # rows that fit beside a key, and rows that don't
+        high, low = rng.integers(0, 9, 500).astype(np.uint32), rng.integers(-wide, wide, 500)
+        assert all((x[slots._order(high, low)] == x[np.lexsort((low, high))]).all() for x in (high, low))
+        pairs = np.stack([low, rng.integers(-3, 3, 500)], 1)
+        assert (slots._distinct(pairs) == np.unique(pairs, axis=0)).all() and not len(slots._distinct(pairs[:0]))
     assert slots.closed(1, packed([(1, 1, 1, 1)])).num_rows == 1 and slots.closed(1, tuple(c[:0] for c in mine)).num_rows == 0
 
 
